@@ -1,0 +1,6 @@
+"""The engine's queries over the standard tables, and the SQL that gives the same rows."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
