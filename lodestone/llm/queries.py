@@ -6,8 +6,9 @@ import importlib.util
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, language_id, quality_rules, simhash_dedup, substring_dedup, warc
 from .byte_bpe import bpe_encode
-from .common import table
+from .common import doc_mod5, scratch, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,14 +17,49 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, where=doc_mod5() != 0)
+    held = docs.select("doc_id", "text", (doc_mod5() == 0).alias("held_out"))
+    return language_id.identify(held, model, keep=("doc_id", "held_out"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=35)
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
+    return warc.read_warc(spark, path).drop("url", "payload")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op9_warc": op9_warc,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
