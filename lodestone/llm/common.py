@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,3 +153,30 @@ def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values over each document's items; bounds has n + 1 entries."""
     total = np.concatenate([np.zeros((1, *values.shape[1:]), values.dtype if values.dtype.kind != "b" else np.int64), np.cumsum(values, axis=0, dtype=None if values.dtype.kind != "b" else np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """keep, key__ (of the row) and z__, the text's bytes, compressed for the shuffle."""
+    source = docs.select(*keep, F.xxhash64(*keep, F.col(text)).alias("key__"), F.col(text).alias("text__"))
+    schema = source.drop("text__").schema.add("z__", "binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in steps(batches, "text__"):
+            z = [pack.compress((x or "").encode()) for x in batch.column("text__").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(z, pa.binary())], names=schema.names)
+
+    return source.mapInArrow(run, schema)
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows and their texts, about ``most`` bytes of text at a time."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        begin, size, texts = 0, 0, []
+        for k, z in enumerate(batch.column("z__")):
+            texts.append(unpack.decompress(z.as_py()))
+            size += len(texts[-1])
+            if size >= most or k == len(batch) - 1:
+                yield batch.slice(begin, k + 1 - begin), pa.array(texts, pa.large_binary())
+                begin, size, texts = k + 1, 0, []

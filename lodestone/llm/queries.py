@@ -6,7 +6,7 @@ import importlib.util
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, quality_rules, simhash_dedup, substring_dedup, warc
+from . import decontaminate, language_id, lm_score, quality_rules, simhash_dedup, substring_dedup, token_files, toxicity, warc
 from .byte_bpe import bpe_encode
 from .common import doc_mod5, scratch, table
 
@@ -34,6 +34,18 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "ids")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return token_files.token_digests(spark, path)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    chain = toxicity.fit(docs, labels.withColumn("low_quality", 1 - labels["quality"]), ["low_quality", "toxic"])
+    return toxicity.classify(docs, chain)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,6 +54,10 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), doc_mod5() == 1, doc_mod5() == 0)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path, min_revisit_bytes=0)
@@ -56,8 +72,11 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_files": op4_token_files,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_lm_score": op8_lm_score,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, steps, text_bytes, word_spans, written
+from .common import hash_words, mix, packed_docs, steps, text_bytes, unpacked, word_spans, written
 from .fm_index import FmIndex
 
 #: Words of an anchor, at most.
@@ -94,33 +93,6 @@ class Windows:
         self.anchor = grams[place[self.begin]] if len(whole) else np.zeros(0, np.uint64)
 
 
-def _packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """keep, key__ (of the row) and z__, the text's bytes, compressed for the shuffle."""
-    source = docs.select(*keep, F.xxhash64(*keep, F.col(text)).alias("key__"), F.col(text).alias("text__"))
-    schema = source.drop("text__").schema.add("z__", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for batch in steps(batches, "text__"):
-            z = [pack.compress((x or "").encode()) for x in batch.column("text__").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(z, pa.binary())], names=schema.names)
-
-    return source.mapInArrow(run, schema)
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Rows and their texts, about ``most`` bytes of text at a time."""
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        begin, size, texts = 0, 0, []
-        for k, z in enumerate(batch.column("z__")):
-            texts.append(unpack.decompress(z.as_py()))
-            size += len(texts[-1])
-            if size >= most or k == len(batch) - 1:
-                yield batch.slice(begin, k + 1 - begin), pa.array(texts, pa.large_binary())
-                begin, size, texts = k + 1, 0, []
-
-
 def _anchors(docs: DataFrame, text: str, keep: tuple[str, ...], window: int) -> DataFrame:
     """(anchor, key) of each segment."""
 
@@ -138,7 +110,7 @@ def _segments(met: DataFrame, window: int) -> DataFrame:
     """(route, segment, words, n, places) of met (key__, z__, anchors, hot); equal ones of a step are one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _unpacked(batches):
+        for batch, texts in unpacked(batches):
             data, offsets = text_bytes(texts)
             raw = data.tobytes()
             w = Windows(data, offsets, window)
@@ -246,7 +218,7 @@ def repeated_runs(docs: DataFrame, packed: DataFrame, *, window: int, text: str,
 
 
 def _cut(docs: DataFrame, window: int, text: str, keep: tuple[str, ...], columns: list[tuple[str, str]], make) -> DataFrame:
-    packed = _packed_docs(docs, text, keep)
+    packed = packed_docs(docs, text, keep)
     runs = repeated_runs(docs, packed, window=window, text=text, keep=keep)
     met = packed.join(runs.hint("shuffle_hash"), F.col("key__") == F.col("key"), "left").select(*keep, "z__", "all_runs")
     schema = met.select(*keep).schema
@@ -254,7 +226,7 @@ def _cut(docs: DataFrame, window: int, text: str, keep: tuple[str, ...], columns
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _unpacked(batches):
+        for batch, texts in unpacked(batches):
             rows = []
             for raw, all_runs in zip(texts.to_pylist(), batch.column("all_runs").to_pylist(), strict=True):
                 words = raw.split()
