@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import steps
+from .common import map_arrow, steps
 
 #: Pre-tokens that a generation of a worker's memory holds at most.
 MEMORY = 400_000
@@ -298,4 +298,4 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
                 columns.append(pa.array(ids, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -72,6 +72,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow in batches of few bytes: rows may be long, and each task's worker holds a batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(STEP_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a text column with 8 bytes of padding, and n + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -166,7 +172,7 @@ def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
             z = [pack.compress((x or "").encode()) for x in batch.column("text__").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(z, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

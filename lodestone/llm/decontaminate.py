@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, steps, text_bytes, word_spans
+from .common import hash_words, map_arrow, mix, steps, text_bytes, word_spans
 
 WORDS = 5
 #: Items broadcast at once.
@@ -193,7 +193,7 @@ def _find(source: DataFrame, schema, index: ItemIndex) -> DataFrame:
                     names=schema.names,
                 )
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20) -> DataFrame:
@@ -206,5 +206,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0
                 hit = {d for d, *_ in _search(shared.value, batch.column("text"))}
                 yield batch.filter(pa.array([k not in hit for k in range(len(batch))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_bytes
+from .common import map_arrow, steps, text_bytes
 
 UNDETERMINED = "und"
 #: Bytes of the longest contexts.
@@ -94,7 +94,7 @@ def _count(texts: DataFrame) -> DataFrame:
                     gram, n = np.unique(np.concatenate(total), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
-    return texts.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(texts.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, *, where: Column | None = None, per_language: int = 1000, least: int = 2) -> PpmModel:
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, model: PpmModel, *, text: str = "text", keep: tupl
             judged = _judge(shared.value, batch.column("text__"))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep))] + [pa.array(x) for x in judged], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def _judge(m: PpmModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -233,4 +233,4 @@ def keep_identified(docs: DataFrame, model: PpmModel, most_bits: float = 8.0) ->
             lang, _, bits = _judge(shared.value, batch.column("text"))
             yield batch.filter(pa.array([x != UNDETERMINED and b <= most_bits for x, b in zip(lang, bits, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, hash_words, mix, per_document, steps, text_bytes, word_spans, written
+from .common import SPACE, hash_words, map_arrow, mix, per_document, steps, text_bytes, word_spans, written
 
 #: Bytes of a gram: at most four, as a gram is packed in 32 bits.
 ORDER = 4
@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["lang", "gram", "n"])
 
     texts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")
-    return texts.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _scatter(keys: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], keep: tuple[str, ...]
             columns = [np.diff(bounds), chars, symbols, lines, repeated, np.diff(offsets)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(c.astype(np.int64)) for c in columns] + [pa.array(bits)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def repeat_words(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, written
+from .common import map_arrow, steps, written
 
 BLOCKS = 6
 #: A bucket with more fingerprints is dealt again.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, words: int = 3, text: str = "text", keep: t
             fp = [fingerprint(shingle_hashes((x or "").encode(), words)) for x in batch.column("text__").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep))] + [pa.array(np.array(fp, np.uint64).view(np.int64))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def _cuts(width: int) -> list[int]:
@@ -153,7 +153,7 @@ def _links(keyed: DataFrame, radius: int) -> DataFrame:
         if rest is not None and (out := linked(*rest)) is not None:
             yield out
 
-    return keyed.sortWithinPartitions("which", "key", "fp").mapInArrow(run, "a long, b long")
+    return map_arrow(keyed.sortWithinPartitions("which", "key", "fp"), run, "a long, b long")
 
 
 def links(distinct: DataFrame, radius: int = 3) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import written
+from .common import map_arrow, written
 from .simhash_dedup import components, fingerprint, shingle_hashes
 
 #: Blocks of a text in a size class.
@@ -117,7 +117,7 @@ def _verified(rows: DataFrame, similarity: float) -> DataFrame:
         if len(ids) > 1:
             yield links()
 
-    return rows.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "id").mapInArrow(run, "a long, b long")
+    return map_arrow(rows.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other", "id"), run, "a long, b long")
 
 
 def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -140,7 +140,7 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
                 sets.append(np.unique((h >> np.uint64(32)).astype("<u4")).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=schema.names)
 
-    marked = written(source.mapInArrow(run, schema), "shingled")
+    marked = written(map_arrow(source, run, schema), "shingled")
     distinct = marked.groupBy("id").agg(F.min(doc_id).alias("least"))
     keyed = marked.select("id", F.explode("keys").alias("key")).distinct()
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.sum(F.col("id").cast("decimal(38,0)")).alias("members")).where("n > 1")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, packed_docs, steps, text_bytes, unpacked, word_spans, written
+from .common import hash_words, map_arrow, mix, packed_docs, steps, text_bytes, unpacked, word_spans, written
 from .fm_index import FmIndex
 
 #: Words of an anchor, at most.
@@ -103,7 +103,7 @@ def _anchors(docs: DataFrame, text: str, keep: tuple[str, ...], window: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(w.anchor.view(np.int64)), pa.array(key[w.doc])], names=["anchor", "key"])
 
     source = docs.select(F.xxhash64(*keep, F.col(text)).alias("key"), F.col(text).alias("text__"))
-    return source.mapInArrow(run, "anchor long, key long")
+    return map_arrow(source, run, "anchor long, key long")
 
 
 def _segments(met: DataFrame, window: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _segments(met: DataFrame, window: int) -> DataFrame:
                 names=["route", "segment", "words", "n", "places"],
             )
 
-    return met.mapInArrow(run, "route long, segment long, words binary, n long, places binary")
+    return map_arrow(met, run, "route long, segment long, words binary, n long, places binary")
 
 
 def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +185,7 @@ def _reports(segments: DataFrame, window: int) -> DataFrame:
         if held:
             yield shard()
 
-    return segments.sortWithinPartitions("route").mapInArrow(run, "segment long, runs binary")
+    return map_arrow(segments.sortWithinPartitions("route"), run, "segment long, runs binary")
 
 
 def _spread(met: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _spread(met: DataFrame) -> DataFrame:
                     runs.append((r + start).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(runs, pa.binary())], names=["key", "runs"])
 
-    return met.select("places", "runs").mapInArrow(run, "key long, runs binary")
+    return map_arrow(met.select("places", "runs"), run, "key long, runs binary")
 
 
 def repeated_runs(docs: DataFrame, packed: DataFrame, *, window: int, text: str, keep: tuple[str, ...]) -> DataFrame:
@@ -239,7 +239,7 @@ def _cut(docs: DataFrame, window: int, text: str, keep: tuple[str, ...], columns
                 rows.append(make(raw, words, gone))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep))] + [pa.array(c, schema[name].dataType.simpleString().replace("bigint", "int64")) for c, (name, _) in zip(zip(*rows, strict=True), columns, strict=True)], names=schema.names)
 
-    return met.mapInArrow(run, schema)
+    return map_arrow(met, run, schema)
 
 
 def _kept(words: list[bytes], gone: np.ndarray) -> bytes:

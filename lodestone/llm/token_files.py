@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import steps, written
+from .common import map_arrow, steps, written
 from .id_coder import BLOCK_IDS, decode_block, encode_block
 
 _HEAD = struct.Struct("<4sIQII")  # magic, documents, ids, bytes of the table, its crc
@@ -152,7 +152,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, end_id: int
             yield _row(pack_segment(held_ids, held, encoder.vocabulary))
 
     ordered = source.repartitionByRange("id__", "tie__").sortWithinPartitions("id__", "tie__").select("id__", "text__")
-    ordered.mapInArrow(run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END).text(out)
+    map_arrow(ordered, run, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("lineSep", END).text(out)
 
 
 def _row(segment: bytes) -> pa.RecordBatch:
@@ -162,7 +162,7 @@ def _row(segment: bytes) -> pa.RecordBatch:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, doc_id, at, n_tokens, ids): ``at`` is the document's first id within the file."""
     files = _files(spark, path)
-    return files.mapInArrow(lambda batches: _documents(batches, lambda x: x.tolist()), "file long, doc_id long, at long, n_tokens long, ids array<int>")
+    return map_arrow(files, lambda batches: _documents(batches, lambda x: x.tolist()), "file long, doc_id long, at long, n_tokens long, ids array<int>")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

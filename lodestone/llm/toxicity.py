@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _MASK, hash_words, steps, text_bytes
+from .common import _MASK, hash_words, map_arrow, steps, text_bytes
 
 BUCKETS = 1 << 20
 FEATURES = 400
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: in
         yield pa.RecordBatch.from_arrays([pa.array(some)] + [pa.array(n[some, j]) for j in range(2 * kinds)], names=["bucket", *(f"n{j}" for j in range(2 * kinds))])
 
     schema = "bucket long, " + ", ".join(f"n{j} long" for j in range(2 * kinds))
-    counted = rows.mapInArrow(count, schema).groupBy("bucket").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(2 * kinds)]).toPandas()
+    counted = map_arrow(rows, count, schema).groupBy("bucket").agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(2 * kinds)]).toPandas()
     n = np.zeros((BUCKETS + 1, 2 * kinds))
     n[counted["bucket"].to_numpy(np.int64)] = counted[[f"n{j}" for j in range(2 * kinds)]].to_numpy()
     buckets = [_best(n[:BUCKETS, 2 * k : 2 * k + 2], n[BUCKETS, 2 * k : 2 * k + 2]) for k in range(kinds)]
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: in
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(column.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("fold", *categories)] + [lists], names=["fold", *categories, "columns"])
 
-    taken = rows.mapInArrow(take, "fold int, " + ", ".join(f"`{c}` int" for c in categories) + ", columns array<int>").toPandas()
+    taken = map_arrow(rows, take, "fold int, " + ", ".join(f"`{c}` int" for c in categories) + ", columns array<int>").toPandas()
     taken = taken.assign(order=[tuple(c) for c in taken["columns"]]).sort_values(["fold", *categories, "order"], kind="stable")
     x = np.zeros((len(taken), len(every)), np.float64)
     for i, columns in enumerate(taken["columns"]):
@@ -241,4 +241,4 @@ def classify(docs: DataFrame, chain: Chain, *, text: str = "text", keep: tuple[s
             p = c.predict(*text_bytes(batch.column("text__")))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(keep))] + [pa.array(p[:, k]) for k in range(p.shape[1])] + [pa.array(p[:, -1] >= c.threshold)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

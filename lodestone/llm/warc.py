@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: Fixed values of the Zstandard formats: magic numbers of skippable frames and of the seek table.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 EMPTY_FRAME = struct.pack("<II", SKIPPABLE, 0)
@@ -179,7 +181,7 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
         yield row(content)
         yield row(seek_table(frames))
 
-    bundles = planned.select("id__p", "url__", "html__", "refers_to__", "revisit__").mapInArrow(run, "frame binary")
+    bundles = map_arrow(planned.select("id__p", "url__", "html__", "refers_to__", "revisit__"), run, "frame binary")
     bundles.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME.decode()).text(path)
 
 
@@ -206,4 +208,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return map_arrow(files, run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
