@@ -169,7 +169,7 @@ def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in steps(batches, "text__"):
-            z = [pack.compress((x or "").encode()) for x in batch.column("text__").to_pylist()]
+            z = [None if x is None else pack.compress(x.encode()) for x in batch.column("text__").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(z, pa.binary())], names=schema.names)
 
     return map_arrow(source, run, schema)
@@ -181,8 +181,8 @@ def unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator
     for batch in batches:
         begin, size, texts = 0, 0, []
         for k, z in enumerate(batch.column("z__")):
-            texts.append(unpack.decompress(z.as_py()))
-            size += len(texts[-1])
+            texts.append(unpack.decompress(z.as_py()) if z.is_valid else None)
+            size += len(texts[-1] or b"")
             if size >= most or k == len(batch) - 1:
                 yield batch.slice(begin, k + 1 - begin), pa.array(texts, pa.large_binary())
                 begin, size, texts = k + 1, 0, []

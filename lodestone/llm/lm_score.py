@@ -93,7 +93,7 @@ def _sorted_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _texts(chunk: pa.Table) -> list[bytes]:
     z = zstandard.ZstdDecompressor()
-    return [z.decompress(x.as_py()) for x in chunk.column("z__")]
+    return [z.decompress(x.as_py()) if x.is_valid else b"" for x in chunk.column("z__")]
 
 
 def _requests(dealt: DataFrame, order: int, shards: int) -> DataFrame:

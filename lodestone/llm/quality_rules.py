@@ -2,7 +2,7 @@
 
 The perplexity is that of an interpolated modified Kneser-Ney model over bytes, one for each language:
 the highest order has raw counts, the lower ones the number of different bytes seen before, and each
-order its three discounts. Spark counts the grams of all texts; tasks add up their own before the
+order its three discounts; grams that occur once give their mass to the shorter context. Spark counts the grams of all texts; tasks add up their own before the
 shuffle. The model is stored in sorted arrays of gram hashes with their log probabilities and, for
 contexts, their back-off weights. A gram is ``ORDER`` bytes, so its size follows the variety of the
 scripts and not the number of documents; it is checked before the arrays are broadcast.
@@ -31,6 +31,8 @@ from .common import SPACE, hash_words, map_arrow, mix, per_document, steps, text
 ORDER = 4
 #: The model is broadcast: with more grams than this it is refused.
 MOST_GRAMS = 50_000_000
+#: Occurrences (in lower orders: different bytes before) that a gram of two bytes or more needs.
+LEAST = 2
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: A text of this many bytes gets a band wider by the root of two.
@@ -161,13 +163,16 @@ class KneserNey:
             discount = cut[np.minimum(c, 3).astype(int) - 1]
             context, inverse = np.unique(keys >> 8, return_inverse=True)
             total = np.bincount(inverse, c)
-            weight = np.bincount(inverse, discount) / total
+            # grams with one occurrence have no entry, else a text of noise would be predicted by itself
+            kept = (c >= LEAST) | (order == 1)
+            own = np.where(kept, (c - discount) / total[inverse], 0)
+            weight = np.maximum(1 - np.bincount(inverse, own), 1e-9)
             if lower is None:
                 below = np.full(len(keys), 1 / 256)
             else:
                 below = lower[1][np.searchsorted(lower[0], keys & (1 << 8 * (order - 1)) - 1)]
-            p = (c - discount) / total[inverse] + weight[inverse] * below
-            grams.append(HashArray.of(keys, np.log2(p)))
+            p = own + weight[inverse] * below
+            grams.append(HashArray.of(keys[kept], np.log2(p[kept])))
             backoff.append(HashArray.of(context, np.log2(weight)))
             lower = keys, p
         return cls(grams[::-1], backoff[::-1])

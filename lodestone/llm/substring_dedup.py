@@ -229,7 +229,7 @@ def _cut(docs: DataFrame, window: int, text: str, keep: tuple[str, ...], columns
         for batch, texts in unpacked(batches):
             rows = []
             for raw, all_runs in zip(texts.to_pylist(), batch.column("all_runs").to_pylist(), strict=True):
-                words = raw.split()
+                words = (raw or b"").split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for r in all_runs or ():
                     for a, b in np.frombuffer(r, "<i8").reshape(-1, 2).tolist():
@@ -249,7 +249,7 @@ def _kept(words: list[bytes], gone: np.ndarray) -> bytes:
 def substring_dedup(docs: DataFrame, *, window: int = 35, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep, n_words, n_removed, kept_sha256 of each row of docs."""
 
-    def make(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple:
+    def make(raw: bytes | None, words: list[bytes], gone: np.ndarray) -> tuple:
         return len(words), int(gone.sum()), hashlib.sha256(_kept(words, gone)).hexdigest()
 
     return _cut(docs, window, text, keep, [("n_words", "long"), ("n_removed", "long"), ("kept_sha256", "string")], make)
@@ -259,8 +259,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 35) -> DataFrame:
     """docs (text, n_chars) without the repeated words; an untouched text stays as it is, byte for byte."""
     others = tuple(c for c in docs.columns if c != "text")
 
-    def make(raw: bytes, words: list[bytes], gone: np.ndarray) -> tuple:
-        return ((_kept(words, gone) if gone.any() else raw).decode(),)
+    def make(raw: bytes | None, words: list[bytes], gone: np.ndarray) -> tuple:
+        return (raw if raw is None else (_kept(words, gone) if gone.any() else raw).decode(),)
 
     out = _cut(docs, window, "text", others, [("text", "string")], make)
     if "n_chars" in docs.columns:
