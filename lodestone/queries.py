@@ -1,6 +1,620 @@
-"""The engine's queries over the standard tables, and the SQL that gives the same rows."""
+"""The engine's queries over the standard tables, and the SQL that gives the same rows.
+
+The tables stand in for a corpus: ``documents`` are its texts, ``events`` its activity, ``pages`` its
+captures, ``embeddings`` its vectors. ``NOW`` is fixed, so that results do not depend on the clock.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import time as D
+from .functions import vector as V
+from .operators import activity, retrieval, tables
+from .streaming import streams
+
+NOW = "2024-01-31 00:00:00"
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
+STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+TOKENS = r"list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}''’·-]*'), lambda x: length(x) >= 2)"
+tok = TOKENS.format
+ctok = lambda c: f"list_filter({tok(c)}, lambda x: x NOT IN ({STOP}))"
+HOST = r"regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), '^www\.', '')"
+ACTIVITY = f"(SELECT *, json_extract(props, '$.k')::INT AS k, TIMESTAMP '{NOW}' AS now FROM events)"
+
+
+def activity_items(t) -> DataFrame:
+    """Events as items with the signals that analytics read."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    kinds = F.when(F.col("event_type") == "signup", "classroom").when(F.col("event_type") == "error", "gmail").when(F.col("event_type") == "view", "web").when(F.col("event_type") == "click", "drive").otherwise("bookmark")
+    return t("events").select(
+        F.col("event_id").alias("mem_id"), "user_id", F.col("ts").alias("created_at"), kinds.alias("source_kind"), k.alias("k"), "value",
+        F.concat(F.lit("site"), (k % 20).cast("string")).alias("site"), (F.col("value") * 60).alias("text_length"), (F.col("value") * 1000).alias("dwell_ms"), (k / 100).alias("scroll_pct"),
+    )
+
+
+ITEMS = f"""(SELECT event_id AS mem_id, user_id, ts AS created_at, CASE event_type WHEN 'signup' THEN 'classroom' WHEN 'error' THEN 'gmail' WHEN 'view' THEN 'web' WHEN 'click' THEN 'drive' ELSE 'bookmark' END AS source_kind,
+  k, value, 'site' || (k % 20) AS site, value * 60 AS text_length, value * 1000 AS dwell_ms, k / 100.0::DOUBLE AS scroll_pct, now,
+  (epoch_us(now) - epoch_us(ts)) / 86400000000.0::DOUBLE AS age FROM {ACTIVITY})"""
+
+
+# ---- records -------------------------------------------------------------------------------------
+
+
+@query("SELECT ord, i.doc_id, source, lang FROM (VALUES (1, 5::BIGINT), (2, 3), (3, 99999999), (4, 1)) i(ord, doc_id) LEFT JOIN documents d USING (doc_id)")
+def get_many(t):
+    docs = t("documents")
+    ids = docs.sparkSession.createDataFrame([(1, 5), (2, 3), (3, 99999999), (4, 1)], "ord int, doc_id long")
+    return tables.get_many(docs.select("doc_id", "source", "lang"), ids, "doc_id").select("ord", "doc_id", "source", "lang")
+
+
+@query("SELECT i.doc_id, d.doc_id IS NOT NULL AS exists FROM (VALUES (5::BIGINT), (99999999)) i(doc_id) LEFT JOIN documents d USING (doc_id)")
+def exists_flag(t):
+    docs = t("documents")
+    return tables.exists_flags(docs, docs.sparkSession.createDataFrame([(5,), (99999999,)], "doc_id long"), "doc_id")
+
+
+@query("SELECT page_id, sha1(url) AS id FROM pages")
+def url_id(t):
+    return t("pages").select("page_id", F.sha1(F.col("url").cast("binary")).alias("id"))
+
+
+@query("SELECT count(*) AS n FROM documents")
+def corpus_count(t):
+    return t("documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, source, lang, length(text)::BIGINT AS text_length FROM documents")
+def lite_scan(t):
+    return t("documents").select("doc_id", "source", "lang", F.length("text").cast("long").alias("text_length"))
+
+
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def recent_n(t):
+    return tables.recent(t("events").select("event_id", "ts"), 50, "ts", "event_id")
+
+
+@query("SELECT event_id, ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12' ORDER BY ts DESC, event_id DESC LIMIT 5000")
+def between_dates(t):
+    return tables.between(t("events").select("event_id", "ts", "event_type"), "ts", F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-12").cast("timestamp"), "event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
+def ids_between(t):
+    return t("events").where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp"))).select("event_id")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'orphan' ELSE 'stale' END AS state FROM (SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 3 = 1)")
+def reconcile(t):
+    docs = t("documents").select("doc_id")
+    return tables.reconcile(docs.where("doc_id % 3 <> 1"), docs.where("doc_id % 3 <> 0"), "doc_id")
+
+
+@query(f"SELECT user_id, k, min(event_id) AS event_id FROM {ACTIVITY} WHERE user_id % 4 <> 0 GROUP BY user_id, k")
+def ingest_dedupe(t):
+    rows = t("events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("key", F.concat_ws("/", "user_id", "k"))
+    return tables.new_rows(rows, rows.where("user_id % 4 = 0"), "key", "event_id").select("user_id", "k", "event_id")
+
+
+@query("SELECT count(*) AS vectors, count(DISTINCT label) AS labels, max(len(embedding))::BIGINT AS dim, sum(len(embedding))::BIGINT AS bytes FROM embeddings")
+def index_stats(t):
+    return t("embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.countDistinct("label").alias("labels"), F.max(F.size("embedding")).cast("long").alias("dim"), F.sum(F.size("embedding")).alias("bytes"))
+
+
+@query("SELECT source, count(*) AS n, sum(length(text) + length(source))::BIGINT AS chars FROM documents GROUP BY source")
+def storage_stats(t):
+    return t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text") + F.length("source")).cast("long").alias("chars"))
+
+
+# ---- predicates and text -------------------------------------------------------------------------
+
+
+@query(f"SELECT page_id, url LIKE 'http%' AND NOT regexp_matches({HOST}, '(^|\\.)({'|'.join(h.replace('.', chr(92) + '.') for h in T.SKIP_HOSTS)})$') AS fetchable, {HOST} AS host FROM pages")
+def fetchable(t):
+    return t("pages").select("page_id", T.fetchable(F.col("url"), F.lit("web")).alias("fetchable"), T.host_of(F.col("url")).alias("host"))
+
+
+@query(rf"""SELECT page_id FROM (SELECT page_id, url, trim(regexp_extract(html, '<title[^>]*>((?:.|\n)*?)</title>', 1)) AS title FROM pages)
+ WHERE length(title) >= 4 AND url LIKE 'http%' AND {HOST} NOT IN ('localhost', 'newtab', 'google.com', 'duckduckgo.com', 'bing.com') AND NOT regexp_matches(url, '(?i)/(login|signin|signup|logout|verify|otp|2fa|search|results)\b')""")
+def history_filter(t):
+    return t("pages").where(T.history_worthy(F.col("url"), T.html_title(F.col("html")))).select("page_id")
+
+
+@query("SELECT doc_id, length(trim(text)) < 500 OR (starts_with(trim(text), trim(substr(text, 1, 80))) AND length(trim(text)) < 3 * length(trim(substr(text, 1, 80)))) AS trivial FROM documents")
+def trivial_flag(t):
+    return t("documents").select("doc_id", T.is_trivial(F.substring("text", 1, 80), F.col("text")).alias("trivial"))
+
+
+@query("SELECT conv_id, turn, contains(text, '?') OR regexp_matches(text, '" + T.REQUEST + "') AS asks FROM conversations")
+def question_like(t):
+    return t("conversations").select("conv_id", "turn", T.question_like(F.col("text"), F.lit("")).alias("asks"))
+
+
+@query(f"SELECT conv_id, turn, length(trim(text)) < 30 OR regexp_matches(lower(trim(text)), '{T.FOLLOW_START}') OR regexp_matches(lower(trim(text)), '{T.FOLLOW_REFERENCE}') AS follow_up FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+def follow_up(t):
+    # word boundaries beside letters beyond ASCII differ between regex libraries; the operator takes any text
+    return t("conversations").where(~F.col("text").rlike(r"[^\x00-\x7f]")).select("conv_id", "turn", T.follow_up(F.col("text")).alias("follow_up"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (NOT light) AS complete, count(*) FILTER (light) AS title_only, round(100.0 * count(*) FILTER (NOT light) / count(*), 6)::DOUBLE AS pct FROM (SELECT length(text) < 40 OR text = '' AS light FROM documents)")
+def coverage(t):
+    only = T.is_title_only(F.lit("\0"), F.col("text"), F.lit(False))
+    full = F.count_if(~only)
+    return t("documents").agg(F.count(F.lit(1)).alias("total"), full.alias("complete"), F.count_if(only).alias("title_only"), F.round(100.0 * full / F.count(F.lit(1)), 6).alias("pct"))
+
+
+@query(f"SELECT doc_id, array_to_string({tok('text')}, ' ') AS tokens FROM documents")
+def tokenize(t):
+    return t("documents").select("doc_id", F.array_join(T.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT doc_id, array_to_string({ctok('text')}, ' ') AS tokens FROM documents")
+def content_tokens(t):
+    return t("documents").select("doc_id", F.array_join(T.content_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"WITH w AS (SELECT doc_id, {ctok('text')} AS t FROM documents) SELECT doc_id, array_to_string(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1]), ' ') AS pairs FROM w")
+def bigrams(t):
+    return t("documents").select("doc_id", F.array_join(T.bigrams(T.content_tokens(F.col("text"))), " ").alias("pairs"))
+
+
+@query("SELECT page_id, CASE WHEN length(h) <= 4 THEN h ELSE array_to_string(list_transform(range(1, length(h) - 2), lambda i: substr(h, i, 4)), ' ') END AS grams FROM (SELECT page_id, " + HOST + " AS h FROM pages)")
+def char_ngrams(t):
+    return t("pages").select("page_id", F.array_join(T.char_ngrams(T.host_of(F.col("url"))), " ").alias("grams"))
+
+
+@query("SELECT page_id, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(url) + 1), lambda i: unicode(substr(url, i, 1))::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS hash FROM pages")
+def fnv1a(t):
+    return t("pages").select("page_id", T.fnv1a(F.col("url")).alias("hash"))
+
+
+@query("SELECT doc_id, sha1(trim(substr(text, 1, 80)) || chr(10) || substr(trim(text), 1, 8000)) AS hash FROM documents")
+def content_hash(t):
+    return t("documents").select("doc_id", T.content_hash(F.substring("text", 1, 80), F.col("text")).alias("hash"))
+
+
+@query("SELECT doc_id, CASE WHEN length(s) <= 900 THEN s WHEN contains(h, ' ') AND cut > 540 THEN substr(s, 1, cut) || '…' ELSE substr(s, 1, 900) || '…' END AS passage FROM (SELECT *, length(h) - instr(reverse(h), ' ') AS cut FROM (SELECT doc_id, trim(text) AS s, substr(trim(text), 1, 901) AS h FROM documents))")
+def clip_passage(t):
+    return t("documents").select("doc_id", T.clip_passage(F.col("text")).alias("passage"))
+
+
+def _html_sql(column: str) -> str:
+    s = column
+    for tag in T.DROPPED_BLOCKS:
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    s = f"regexp_replace(regexp_replace({s}, '{T.LINE_ENDS}', chr(10), 'g'), '(?i)<br\\s*/?>', chr(10), 'g')"
+    s = f"regexp_replace({s}, '<[^>]+>', ' ', 'g')"
+    for name, char in [*T.ENTITIES, ("&amp;", "&")]:
+        s = f"replace({s}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    s = f"regexp_replace(regexp_replace({s}, '[\\t\\f\\x0B ]+', ' ', 'g'), '\\n\\s*\\n\\s*\\n+', chr(10) || chr(10), 'g')"
+    return f"trim(regexp_replace(regexp_replace({s}, '(?m)^[ \\t]+', '', 'g'), '(?m)[ \\t]+$', '', 'g'))"
+
+
+@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
+def html_to_text(t):
+    return t("pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+NAMES = ["Dr. Ada Byron", "ada  byron", "Prof Grace O'Hopper Jr.", "Mr Smith III", "x@y.org", '"Lee, Ann" <ann@lee.org>', "first.last2@mail.org", "a b@c", "", "Jean-Luc Été"]
+
+
+@query("SELECT name, trim(regexp_replace(regexp_replace(replace(replace(replace(lower(regexp_replace(regexp_replace(trim(name), '" + T.HONORIFIC + "', ''), '" + T.NAME_SUFFIX + r"', '')), '‘', ''), '’', ''), '''', ''), '[^a-z0-9\s-]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM (VALUES " + ", ".join("('" + n.replace("'", "''") + "')" for n in NAMES) + ") v(name)")
+def norm_name(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", T.norm_name(F.col("name")).alias("norm"))
+
+
+@query(r"""SELECT name, CASE WHEN a <> '' THEN a WHEN b <> '' THEN trim(regexp_replace(regexp_replace(b, '[._-]+', ' ', 'g'), '\d+', '', 'g')) WHEN contains(s, '@') OR s = '' THEN NULL ELSE s END AS person
+ FROM (SELECT name, trim(name) AS s, trim(regexp_extract(trim(name), '^"?([^"<]+?)"?\s*<[^>]+>$', 1)) AS a, regexp_extract(trim(name), '^([^@\s]+)@[^@\s]+$', 1) AS b FROM (VALUES """ + ", ".join("('" + n.replace("'", "''") + "')" for n in NAMES) + ") v(name))")
+def name_from_email(t):
+    spark = t("region").sparkSession
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", T.name_from_email(F.col("name")).alias("person"))
+
+
+@query()
+def chunks(t):
+    return t("documents").select("doc_id", F.explode(T.chunk_text(F.col("text"))).alias("c")).select("doc_id", "c.i", "c.start", "c.end", "c.text")
+
+
+# ---- index and retrieval -------------------------------------------------------------------------
+
+
+@query(f"SELECT term, doc_id, least(count(*), 65535) AS tf FROM (SELECT doc_id, unnest({ctok('text')}) AS term FROM documents) GROUP BY term, doc_id")
+def term_freq(t):
+    return retrieval.postings(t("documents"))
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({ctok('text')}) AS term FROM documents) GROUP BY term")
+def doc_freq(t):
+    return retrieval.postings(t("documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+@query(f"SELECT doc_id, len({ctok('text')})::BIGINT AS doc_len FROM documents")
+def doc_len(t):
+    return retrieval.doc_lengths(t("documents"))
+
+
+def _questions(t) -> DataFrame:
+    return t("benchmark").where("item_id < 10").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+
+
+def _bm25_sql(k: int, allowed: str = "TRUE") -> str:
+    return f"""WITH post AS (SELECT term, doc_id, least(count(*), 65535) AS tf FROM (SELECT doc_id, unnest({ctok('text')}) AS term FROM documents) GROUP BY 1, 2),
+ len AS (SELECT doc_id, len({ctok('text')}) AS dl FROM documents), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest({ctok("substr(text, 1, 60)")}) AS term FROM benchmark WHERE item_id < 10),
+ s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id), corpus WHERE {allowed} GROUP BY 1, 2),
+ r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+ SELECT query_id, doc_id, score::DOUBLE AS score FROM r WHERE rank <= {k}"""
+
+
+@query(_bm25_sql(60))
+def bm25(t):
+    return retrieval.bm25(t("documents"), _questions(t), 60).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql(60, "doc_id % 2 = 0"))
+def filtered_search(t):
+    docs = t("documents")
+    return retrieval.bm25(docs, _questions(t), 60, docs.where("doc_id % 2 = 0")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _asked(t, every: int = 50) -> DataFrame:
+    return t("embeddings").where(f"vec_id % {every} = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def _knn_sql(k: int, extra: str = "TRUE") -> str:
+    return f"""SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, b.vec_id) AS rank
+ FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0 AND {extra}) WHERE rank <= {k}"""
+
+
+@query(_knn_sql(20))
+def cosine_topk(t):
+    return retrieval.vector_search(t("embeddings"), _asked(t), 20).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query(_knn_sql(5, "a.vec_id <> b.vec_id"))
+def related_to(t):
+    return retrieval.vector_search(t("embeddings"), _asked(t), 5, exclude_self=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+QUANT = "SELECT vec_id, label, list_transform(v, lambda x: CASE WHEN s > 0 THEN least(greatest(floor(x / s + 0.5), -127), 127) ELSE 0 END) AS q, s FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_max(list_transform(embedding::DOUBLE[], lambda x: abs(x))) / 127 AS s FROM embeddings)"
+
+
+@query(f"SELECT vec_id, list_sum(q)::BIGINT AS total, round(s, 9) AS scale FROM ({QUANT})")
+def quantize(t):
+    z = V.quantize(F.col("embedding"))
+    return t("embeddings").select("vec_id", F.aggregate(z["q"], F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.round(z["scale"], 9).alias("scale"))
+
+
+@query(f"""WITH z AS ({QUANT}) SELECT query_id, vec_id, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q) * a.s * b.s AS score,
+ row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.q, b.q) * a.s * b.s, 9) DESC, b.vec_id) AS rank FROM z a, z b WHERE a.vec_id % 50 = 0) WHERE rank <= 20""")
+def int8_scan(t):
+    return retrieval.vector_search(t("embeddings"), _asked(t), 20, quantised=True).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS length, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
+def l2_normalize(t):
+    v = V.l2_normalize(F.col("embedding"))
+    return t("embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("length"), F.round(v[0], 6).alias("first"))
+
+
+@query("SELECT label, (i - 1)::INT AS i, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM embeddings, range(1, 65) r(i) GROUP BY label, i")
+def centroid(t):
+    return retrieval.centroids(t("embeddings"), "label").select("label", "i", F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT event_id, value FROM events WHERE user_id % 2 = 0 ORDER BY value DESC, event_id LIMIT 25")
+def topk(t):
+    return retrieval.top_k(t("events").where("user_id % 2 = 0").select("event_id", F.col("value").alias("score")), 25, "event_id", per=None).select("event_id", F.col("score").alias("value"))
+
+
+@query("""WITH a AS (SELECT event_type AS g, user_id, row_number() OVER (PARTITION BY event_type ORDER BY sum(value) DESC, user_id) AS r1, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS r2 FROM events GROUP BY 1, 2)
+ SELECT g, user_id, round(CASE WHEN r1 <= 60 THEN 1.0 / (60 + r1) ELSE 0 END + CASE WHEN r2 <= 60 THEN 0.5 / (60 + r2) ELSE 0 END, 9)::DOUBLE AS score FROM a WHERE r1 <= 60 OR r2 <= 60""")
+def rrf(t):
+    e = t("events").groupBy(F.col("event_type").alias("query_id"), F.col("user_id").alias("doc_id")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    lists = [(retrieval.top_k(e, 60, "doc_id", by=c), w) for c, w in (("value", 1.0), ("n", 0.5))]
+    return retrieval.rrf(lists).select(F.col("query_id").alias("g"), F.col("doc_id").alias("user_id"), F.round("score", 9).alias("score"))
+
+
+FEATURES = f"""w0 AS (SELECT doc_id, {ctok('text')} AS t FROM src), w AS (SELECT doc_id, w, 1 + ln(count(*)) AS tf FROM (SELECT doc_id, unnest(t) AS w FROM w0) GROUP BY 1, 2),
+ f AS (SELECT doc_id, w AS f, tf AS weight FROM w
+  UNION ALL SELECT doc_id, 'c:' || unnest(list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4))), 0.3 * tf / sqrt(length(w) - 3) FROM w WHERE length(w) > 5
+  UNION ALL SELECT doc_id, 'b:' || p, 0.55 * (1 + ln(count(*))) FROM (SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || '_' || t[i + 1])) AS p FROM w0) GROUP BY doc_id, p),
+ names AS (SELECT f, list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length(f) + 1), lambda i: unicode(substr(f, i, 1))::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS h,
+   list_reduce(list_prepend(2166136261::HUGEINT, list_transform(range(1, length('sgn:' || f) + 1), lambda i: unicode(substr('sgn:' || f, i, 1))::HUGEINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296)::BIGINT AS s FROM (SELECT DISTINCT f FROM f)),
+ b AS (SELECT doc_id, h % 1536 AS bucket, sum(CASE WHEN s % 2 = 1 THEN weight ELSE -weight END) AS weight FROM f JOIN names USING (f) GROUP BY 1, 2),
+ n AS (SELECT doc_id, sqrt(sum(weight * weight)) AS len FROM b GROUP BY 1)"""
+
+
+@query(f"WITH src AS (SELECT item_id AS doc_id, text FROM benchmark), {FEATURES} SELECT doc_id AS item_id, bucket, round(weight / len, 6) AS weight FROM b JOIN n USING (doc_id)")
+def hash_embed(t):
+    return retrieval.features(t("benchmark"), doc_id="item_id").select(F.col("doc_id").alias("item_id"), "bucket", F.round("weight", 6).alias("weight"))
+
+
+@query()
+def semantic_topk(t):
+    texts = _questions(t).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
+    return retrieval.sparse_search(retrieval.features(t("documents")), retrieval.features(texts), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def hybrid_search(t):
+    return retrieval.hybrid_search(t("documents"), _questions(t)).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query("SELECT label AS query_id, vec_id AS doc_id, i, score FROM (SELECT label, vec_id, (i - 1)::INT AS i, round(embedding[i]::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY label, vec_id ORDER BY embedding[i] DESC, i) AS r FROM embeddings, range(1, 65) x(i)) WHERE r = 1")
+def best_passage(t):
+    passages = t("embeddings").select(F.col("label").alias("query_id"), F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("i", "x"))
+    return retrieval.best_passage(passages.withColumn("score", F.col("x").cast("double")).drop("x")).withColumn("score", F.round("score", 9))
+
+
+@query()
+def mmr(t):
+    v = t("embeddings")
+    near = retrieval.vector_search(v, _asked(t), 24, exclude_self=True).select("query_id", "vec_id", "score")
+    return retrieval.mmr(near.join(v.select("vec_id", "embedding"), "vec_id"))
+
+
+@query(f"""SELECT least(q, v) AS a, greatest(q, v) AS b, round(max(score), 6) AS similarity FROM (SELECT a.vec_id AS q, b.vec_id AS v, {DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({DOT}, 9) DESC, b.vec_id) AS rank
+ FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) WHERE rank <= 6 AND round(score, 9) >= 0.3 AND abs(q - v) >= 14 GROUP BY 1, 2""")
+def connections(t):
+    v = t("embeddings").withColumn("at", F.col("vec_id"))
+    return retrieval.connections(v, v.where("vec_id % 20 = 0"), least=0.3, gap=14).withColumn("similarity", F.round("similarity", 6))
+
+
+# ---- activity ------------------------------------------------------------------------------------
+
+SESSIONS = "SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2700000000 THEN 0 ELSE 1 END AS new FROM events)"
+
+
+@query(f"SELECT event_id, user_id, session::BIGINT AS session FROM ({SESSIONS})")
+def sessionize(t):
+    return activity.sessionize(t("events")).select("event_id", "user_id", "session")
+
+
+@query(f"SELECT user_id, session::BIGINT AS session, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) AS members, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 1000)::BIGINT AS duration_ms FROM ({SESSIONS}) GROUP BY 1, 2 HAVING count(*) >= 3")
+def sessions(t):
+    return activity.sessions(t("events")).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query(f"SELECT user_id, session::BIGINT AS session, event_id FROM (SELECT *, count(*) OVER (PARTITION BY user_id, session) AS n FROM ({SESSIONS})) WHERE n >= 3")
+def episode_members(t):
+    return activity.sessions(t("events")).select("user_id", "session", F.explode("members").alias("event_id"))
+
+
+@query("SELECT user_id, event_type, n, rank FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, min(event_id), event_type)::INT AS rank FROM events GROUP BY 1, 2) WHERE rank <= 3")
+def top_counts(t):
+    return activity.top_counts(t("events"), "user_id", "event_type", "event_id", 3)
+
+
+WORDS = f"""SELECT source, word, df, rank FROM (SELECT source, word, df, row_number() OVER (PARTITION BY source ORDER BY df DESC, word)::INT AS rank FROM (SELECT source, word, count(*) AS df FROM (SELECT DISTINCT doc_id, source, unnest({ctok('substr(text, 1, 80)')}) AS word FROM documents) WHERE length(word) >= 4 GROUP BY 1, 2)
+ JOIN (SELECT source, count(*) AS items FROM documents GROUP BY 1) USING (source) WHERE df >= CASE WHEN items >= 4 THEN 2 ELSE 1 END) WHERE rank <= 5"""
+
+
+@query(WORDS)
+def recurring_words(t):
+    return activity.recurring_words(t("documents").withColumn("title", F.substring("text", 1, 80)), "source", "title")
+
+
+@query(f"SELECT source, coalesce(word || ' · ' || source, 'Browsing ' || source) AS name FROM (SELECT DISTINCT source FROM documents) LEFT JOIN (SELECT source, word FROM ({WORDS}) WHERE rank = 1) USING (source)")
+def session_name(t):
+    docs = t("documents").withColumn("title", F.substring("text", 1, 80))
+    first = activity.recurring_words(docs, "source", "title", 1)
+    none = F.lit(None).cast("string")
+    return docs.select("source").distinct().join(first, "source", "left").select("source", activity.session_name(none, F.col("word"), F.col("source"), none).alias("name"))
+
+
+@query()
+def topic_sessions(t):
+    v, e = t("embeddings"), activity.sessionize(t("events"), gap_minutes=24 * 60)
+    n = v.agg(F.max("vec_id") + 1).first()[0] or 1
+    items = e.select((F.col("user_id") * 100_000 + F.col("session")).alias("session"), D.micros(F.col("ts")).alias("pos"), F.col("event_id").alias("item"), (F.col("event_id") % n).alias("vec_id"))
+    return activity.split_by_topic(items.join(v.select("vec_id", F.col("embedding").alias("vec")), "vec_id", "left"))
+
+
+EDGES = "SELECT DISTINCT CASE WHEN event_type IN ('view', 'click') THEN 'person' ELSE 'concept' END AS kind, 'name ' || (user_id % 40) AS norm, event_id AS mem_id, ts FROM events"
+
+
+def _edges(t):
+    kind = F.when(F.col("event_type").isin("view", "click"), "person").otherwise("concept")
+    e = t("events").select(kind.alias("kind"), T.norm_name(F.concat(F.lit("Name "), (F.col("user_id") % 40).cast("string"))).alias("norm"), F.col("event_id").alias("mem_id"), "ts")
+    return e.where(activity.usable_name(F.col("norm"), F.col("kind")))
+
+
+@query(f"SELECT kind, norm, count(DISTINCT mem_id) AS n, min(ts) AS first_seen, max(ts) AS last_seen FROM ({EDGES}) GROUP BY 1, 2 HAVING count(DISTINCT mem_id) >= 2 OR kind = 'person'")
+def entity_graph(t):
+    return activity.entity_graph(_edges(t))
+
+
+@query(f"SELECT kind, norm, n FROM (SELECT kind, norm, count(DISTINCT mem_id) AS n, max(ts) AS last_seen FROM ({EDGES}) GROUP BY 1, 2) WHERE n >= 2 OR kind IN ('person', 'event') ORDER BY n DESC, last_seen DESC, kind, norm LIMIT 40")
+def top_entities(t):
+    g = activity.entity_graph(_edges(t)).where("n >= 2 or kind in ('person', 'event')")
+    return g.orderBy(F.col("n").desc(), F.col("last_seen").desc(), "kind", "norm").limit(40).select("kind", "norm", "n")
+
+
+@query(f"SELECT norm, mem_id, ts FROM ({EDGES}) WHERE kind = 'person' AND norm = 'name 7'")
+def entity_timeline(t):
+    return _edges(t).where("kind = 'person' and norm = 'name 7'").select("norm", "mem_id", "ts")
+
+
+@query("SELECT a, b, count(*) AS shared FROM (SELECT DISTINCT user_id AS a, event_type FROM events WHERE user_id % 50 = 0) JOIN (SELECT DISTINCT user_id AS b, event_type FROM events) USING (event_type) WHERE a <> b GROUP BY 1, 2")
+def shared_entities(t):
+    e = t("events").select("user_id", "event_type").groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    asked = e.where("user_id % 50 = 0").select(F.col("user_id").alias("a"), F.explode("s").alias("event_type"))
+    every = e.select(F.col("user_id").alias("b"), F.explode("s").alias("event_type"))
+    return asked.join(every, "event_type").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+@query("SELECT event_id AS mem_id, ord, name, kind FROM (SELECT event_id, 0 AS ord, 'author ' || user_id AS name, CASE WHEN event_type = 'view' THEN 'org' ELSE 'person' END AS kind FROM events UNION ALL SELECT event_id, 1, 'guest ' || (user_id % 7), 'person' FROM events UNION ALL SELECT event_id, 3, 'course ' || (user_id % 5), 'event' FROM events WHERE event_type = 'signup')")
+def implicit_entities(t):
+    kind = F.when(F.col("event_type") == "view", "youtube").otherwise("web")
+    text = lambda label, n: F.concat(F.lit(label), n.cast("string"))
+    e = t("events").select(F.col("event_id").alias("mem_id"), "ts", kind.alias("source_kind"), text("author ", F.col("user_id")).alias("author"), F.array(text("guest ", F.col("user_id") % 7)).alias("attendees"), F.lit(None).cast("string").alias("channel"), F.when(F.col("event_type") == "signup", text("course ", F.col("user_id") % 5)).alias("course"), F.lit("").alias("site_name"))
+    return activity.implicit_entities(e).select("mem_id", "ord", "name", "kind")
+
+
+@query()
+def alias_fold(t):
+    m = t("customer").select(F.col("c_custkey").alias("mem_id"), F.lit(0).alias("ord"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n"), (F.col("c_custkey") % 11).cast("string"))).otherwise(F.concat(F.lit("n"), (F.col("c_custkey") % 11).cast("string"), F.lit(" x"), (F.col("c_custkey") % 2 * (F.col("c_custkey") % 11 % 2)).cast("string"))).alias("norm"), F.lit("person").alias("kind"))
+    return activity.fold_aliases(m)
+
+
+URGENCY = "CASE WHEN due <= now THEN 1.0 WHEN due < now + INTERVAL 1 DAY THEN 0.95 WHEN due < now + INTERVAL 3 DAY THEN 0.8 WHEN due < now + INTERVAL 7 DAY THEN 0.55 WHEN due < now + INTERVAL 14 DAY THEN 0.3 ELSE 0.15 END::DOUBLE"
+
+
+@query(f"SELECT event_id, {URGENCY} AS urgency, CASE WHEN {URGENCY} > 0.8 THEN 'high' WHEN {URGENCY} > 0.45 THEN 'mid' ELSE 'low' END AS band FROM (SELECT event_id, now, ts + to_days(k) AS due FROM {ACTIVITY})")
+def due_urgency(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    urgency = D.due_urgency(F.col("ts") + F.make_dt_interval(k), now())
+    return t("events").select("event_id", urgency.alias("urgency"), D.urgency_band(urgency).alias("band"))
+
+
+def _loops(t):
+    x = activity_items(t)
+    return activity.open_loops(
+        x.select(
+            "mem_id", "source_kind", "created_at", F.when(F.col("k") % 2 == 0, "any update").otherwise("news").alias("title"), F.lit("").alias("summary"), "text_length", (F.col("created_at") + F.make_dt_interval(F.col("k"))).alias("due"),
+            (F.col("k") % 3 == 0).alias("submitted"), (F.col("k") % 5 == 0).alias("unread"), "dwell_ms", "scroll_pct", (F.col("k") % 4 == 0).alias("modified_by_me"), (F.col("k") % 8 == 0).alias("revisited"), F.col("created_at").alias("modified_at"),
+        ),
+        now(),
+    )
+
+
+LOOPS = f"""SELECT mem_id, kind, CASE WHEN kind LIKE 'assignment%' THEN due END AS due, CASE WHEN kind LIKE 'assignment%' THEN {URGENCY} WHEN kind = 'unread-email' THEN CASE WHEN age > 21 THEN 0.25 ELSE least(0.75, 0.3 + age / 14 * 0.45) END WHEN kind = 'abandoned-read' THEN 0.2 + scroll_pct * 0.5 ELSE 0.25 END::DOUBLE AS urgency FROM
+ (SELECT *, CASE WHEN source_kind = 'classroom' AND k % 3 <> 0 THEN CASE WHEN due < now THEN 'assignment-overdue' ELSE 'assignment-due' END WHEN source_kind = 'gmail' AND k % 5 = 0 AND age > 1 AND k % 2 = 0 THEN 'unread-email'
+  WHEN text_length >= 6000 AND dwell_ms >= 20000 AND scroll_pct < 0.4 AND age > 2 THEN 'abandoned-read' WHEN source_kind = 'drive' AND k % 4 = 0 AND k % 8 <> 0 AND age > 7 AND age < 120 THEN 'stale-doc' END AS kind FROM (SELECT *, created_at + to_days(k) AS due FROM {ITEMS})) WHERE kind IS NOT NULL"""
+
+
+@query(f"SELECT mem_id, kind, due, round(urgency, 6) AS urgency FROM ({LOOPS})")
+def open_loops(t):
+    return _loops(t).withColumn("urgency", F.round("urgency", 6))
+
+
+@query(f"SELECT coalesce(kind, 'total') AS kind, count(*) AS n FROM ({LOOPS}) GROUP BY ROLLUP (kind)")
+def open_loop_counts(t):
+    return _loops(t).rollup("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.coalesce("kind", F.lit("total")))
+
+
+STABILITY = "9.0::DOUBLE * CASE source_kind WHEN 'bookmark' THEN 3.0 WHEN 'drive' THEN 1.8 ELSE 1.0 END * CASE WHEN k > 1 THEN 1 + least(1.8, log2(k)) ELSE 1 END * CASE WHEN scroll_pct > 0.7 THEN 1.5 ELSE 1 END * CASE WHEN dwell_ms > 180000 THEN 1.4 ELSE 1 END * CASE WHEN k % 6 >= 3 THEN 1.3 ELSE 1 END * CASE WHEN k % 7 = 0 THEN 0.45 ELSE 1 END"
+
+
+def _stability():
+    return activity.stability_days(F.col("source_kind"), F.col("k"), F.col("scroll_pct"), F.col("dwell_ms"), F.col("k") % 6, F.lit("article"), F.col("k") % 7 == 0, F.lit(False))
+
+
+@query(f"SELECT mem_id, round({STABILITY}, 6) AS stability, round(exp(-age / ({STABILITY})), 6) AS retention FROM {ITEMS}")
+def stability(t):
+    return activity_items(t).select("mem_id", F.round(_stability(), 6).alias("stability"), F.round(activity.retention(D.days_between(F.col("created_at"), now()), _stability()), 6).alias("retention"))
+
+
+@query(f"""WITH s AS (SELECT mem_id, site, age, exp(-age / st) AS r, st FROM (SELECT *, {STABILITY} AS st FROM {ITEMS})), x AS (SELECT mem_id, site, round(CASE WHEN age < 3 OR r < 0.12 OR r > 0.72 THEN 0 ELSE greatest(0, 1 - abs(r - 0.42) / 0.30) * (0.45 + 0.55 * least(1, st / 36)) END, 9) AS score FROM s),
+ b AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, mem_id) AS n FROM x WHERE score > 0) SELECT mem_id, site, score::DOUBLE AS score FROM b WHERE n = 1 ORDER BY score DESC, mem_id LIMIT 8""")
+def resurface(t):
+    x = activity_items(t).withColumn("stability", _stability()).withColumn("last_resurfaced_at", F.lit(None).cast("timestamp"))
+    return activity.due_for_resurface(x, now())
+
+
+DEEPEN = "2.2 * least(4.0, log2(v + 1)) + CASE WHEN page_id % 5 = 0 THEN 3.5 ELSE 0 END + CASE WHEN page_id % 3 > 0 THEN 1.2 ELSE 0 END + least(2.5, page_id * 100.0 / 120000) + 1.5 * 0.5 + greatest(0, 3 - (page_id % 60) / 14.0) + CASE WHEN depth = 0 THEN -2.5 WHEN depth >= 2 THEN 0.6 ELSE 0 END"
+PAGES = r"(SELECT page_id, url, (page_id % 20)::DOUBLE AS v, len(list_filter(string_split(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/[^?#]*)?', 1), '/+$', ''), '/'), lambda p: p <> '')) AS depth FROM pages)"
+
+
+def _priority():
+    i = F.col("page_id")
+    return activity.deepen_priority(i % 20, F.when(i % 5 == 0, "bookmark").otherwise("web"), i % 3, i * 100, F.lit(0.5), (i % 60).cast("double"), F.col("url"))
+
+
+@query(f"SELECT page_id, round(({DEEPEN})::DOUBLE, 6) AS priority FROM {PAGES}")
+def deepen_priority(t):
+    return t("pages").select("page_id", F.round(_priority(), 6).alias("priority"))
+
+
+@query(f"SELECT page_id FROM {PAGES} WHERE url LIKE 'http%' ORDER BY round(({DEEPEN})::DOUBLE, 9) DESC, page_id LIMIT 20")
+def deepen_candidates(t):
+    fit = t("pages").where(T.fetchable(F.col("url"), F.lit("web")))
+    return fit.orderBy(F.round(_priority(), 9).desc(), "page_id").limit(20).select("page_id")
+
+
+@query("SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN m < 1440 THEN m // 60 || 'h ago' WHEN m < 10080 THEN m // 1440 || 'd ago' ELSE m // 10080 || 'w ago' END AS said FROM (SELECT event_id, (epoch_us(now) - epoch_us(ts)) // 60000000 AS m FROM " + ACTIVITY + ")")
+def relative_time(t):
+    return t("events").select("event_id", D.relative_time(F.col("ts"), now()).alias("said"))
+
+
+SCOPES = ["what did I read yesterday", "notes from this week", "last week's paper", "this month", "past month", "tonight", "what was i doing", "any time"]
+
+
+@query("""SELECT q, label, CASE label WHEN 'yesterday' THEN d - INTERVAL 1 DAY WHEN 'today' THEN d WHEN 'this week' THEN date_trunc('week', d) WHEN 'last week' THEN date_trunc('week', d) - INTERVAL 7 DAY WHEN 'this month' THEN date_trunc('month', d) WHEN 'last month' THEN date_trunc('month', d) - INTERVAL 1 MONTH WHEN 'the last few hours' THEN d - INTERVAL 4 HOUR END::TIMESTAMP AS since
+ FROM (SELECT q, TIMESTAMP '""" + NOW + r"""' AS d, CASE WHEN regexp_matches(q, '\b(yesterday|last night)\b') THEN 'yesterday' WHEN regexp_matches(q, '\b(today|tonight)\b') THEN 'today' WHEN regexp_matches(q, '\bthis\s+week\b') THEN 'this week' WHEN regexp_matches(q, '\b(last|past)\s+week\b') THEN 'last week' WHEN regexp_matches(q, '\bthis\s+month\b') THEN 'this month' WHEN regexp_matches(q, '\b(last|past)\s+month\b') THEN 'last month' WHEN regexp_matches(q, '\bwhat (was|were) i (just )?(doing|reading|looking at)\b') THEN 'the last few hours' END AS label FROM (VALUES """ + ", ".join("('" + s.replace("'", "''") + "')" for s in SCOPES) + ") v(q))")
+def time_scope(t):
+    q = t("region").sparkSession.createDataFrame([(s,) for s in SCOPES], "q string")
+    return q.withColumn("s", D.time_scope(F.col("q"), now())).select("q", "s.label", F.col("s.from").alias("since"))
+
+
+IN = ["in 20 minutes", "come in a week please", "in 3 hrs", "in 2 days", "in the end"]
+
+
+@query(r"SELECT s, CASE WHEN u = '' THEN NULL ELSE to_timestamp(epoch(TIMESTAMP '" + NOW + r"') + 60 * (CASE WHEN n IN ('a', 'an') THEN 1 ELSE try_cast(n AS INT) END) * (CASE WHEN u LIKE 'min%' THEN 1 WHEN u LIKE 'h%' THEN 60 WHEN u LIKE 'd%' THEN 1440 ELSE 10080 END))::TIMESTAMP END AS at FROM (SELECT s, regexp_extract(s, p, 1) AS n, regexp_extract(s, p, 2) AS u FROM (SELECT s, '\bin\s+(a|an|\d{1,3})\s*(min|mins|minute|minutes|hr|hrs|hour|hours|day|days|week|weeks)\b' AS p FROM (VALUES " + ", ".join(f"('{s}')" for s in IN) + ") v(s)))")
+def parse_relative(t):
+    return t("region").sparkSession.createDataFrame([(s,) for s in IN], "s string").select("s", D.parse_relative(F.col("s"), now()).alias("at"))
+
+
+@query(f"SELECT category, mem_id, total, rank FROM (SELECT source_kind AS category, mem_id, count(*) OVER (PARTITION BY source_kind) AS total, row_number() OVER (PARTITION BY source_kind ORDER BY created_at DESC, mem_id)::INT AS rank FROM {ITEMS} WHERE created_at >= now - INTERVAL 1 DAY AND created_at < now) WHERE rank <= CASE category WHEN 'web' THEN 10 WHEN 'bookmark' THEN 6 ELSE 8 END")
+def daily_summary(t):
+    x = activity_items(t).where((F.col("created_at") >= now() - F.expr("INTERVAL 1 DAY")) & (F.col("created_at") < now()))
+    panel = activity.grouped_panel(x.select("mem_id", F.col("source_kind").alias("category"), F.col("created_at").alias("at")), {"web": 10, "bookmark": 6, "gmail": 8, "drive": 8, "classroom": 8})
+    return panel.select("category", "mem_id", "total", "rank")
+
+
+@query("SELECT event_type AS kind, count(*) AS n FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 200) GROUP BY 1")
+def suggestion_stats(t):
+    return tables.recent(t("events"), 200, "ts", "event_id").groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT event_id FROM {ACTIVITY} WHERE ts + to_days(k) <= now AND k % 2 = 0")
+def due_reminders(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    r = t("events").select("event_id", (F.col("ts") + F.make_dt_interval(k)).alias("at"), F.when(k % 2 == 1, F.col("ts")).alias("fired_at"))
+    return streams.due_reminders(r, now()).select("event_id")
+
+
+MESSAGES = ["don't forget the essay is due tomorrow at 5pm", "maybe lunch on friday?", "the meeting was moved to friday at 3pm", "did you see the game last night", "see you in 2 hours at the station", "hackathon ending tmrw at 12pm", "version 1.2.3 is out", "submit the form by 3/5", "please review by eod", "we went home on monday"]
+
+
+@query()
+def commitments(t):
+    m = t("region").sparkSession.createDataFrame([(s,) for s in MESSAGES], "text string").withColumn("at", now())
+    return streams.commitments(m)
+
+
+@query(f"SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM ({SESSIONS.replace('<= 2700000000', '<= 2700000000')}) GROUP BY user_id, session")
+def stream_sessions(t):
+    return streams.stream_sessions(t("events")).select("user_id", "started_at", "ended_at", "n")
+
+
+@query()
+def deepen_pages(t):
+    text = T.character_references(T.html_to_text(F.col("html")))
+    return t("pages").select("page_id", T.html_title(F.col("html")).alias("title"), text.alias("text")).where(F.length("text") >= 400)
