@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .common import map_arrow, steps
 
 #: Pre-tokens that a generation of a worker's memory holds at most.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Texts with more characters are cut into pre-tokens piece by piece.
 LONG = 4 << 20
 _POS = (1 << 40) - 1

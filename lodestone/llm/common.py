@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: White space that separates words: \x20 and \x09-\x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -175,7 +175,7 @@ def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     return map_arrow(source, run, schema)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def unpacked(batches: Iterator[pa.RecordBatch], most: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Rows and their texts, about ``most`` bytes of text at a time."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:

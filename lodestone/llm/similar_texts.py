@@ -96,6 +96,46 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Of the blocks of keyed (key, id) with two members or more: a row (key, id) for each, and one with n,
+    the least id and a mark of all ids. A block's members are read in order and not held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[int] | None = None  # key, members, mark, least id, last id of the block that may go on
+
+        def rows(key, number, n=None, mark=None) -> pa.RecordBatch:
+            none = pa.nulls(len(key), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(number, pa.int64()), none if n is None else pa.array(n, pa.int64()), none if mark is None else pa.array(mark, pa.int64())], names=["key", "id", "n", "mark"])
+
+        for batch in batches:
+            key, number = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id"))
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1])])
+            if held is not None and len(key) and held[0] == key[0] and held[4] == number[0]:
+                new[0] = False
+            key, number = key[new], number[new]
+            if not len(key):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n, mark, least = np.diff(np.append(begin, len(key))), np.bitwise_xor.reduceat(number, begin), number[begin].copy()
+            if held is not None and held[0] == key[0]:
+                if held[1] == 1:
+                    yield rows([held[0]], [held[3]])
+                n[0] += held[1]
+                mark[0] ^= held[2]
+                least[0] = held[3]
+            elif held is not None and held[1] > 1:
+                yield rows([held[0]], [held[3]], [held[1]], [held[2]])
+            several = np.repeat(n > 1, np.diff(np.append(begin, len(key))))
+            yield rows(key[several], number[several])
+            done = np.flatnonzero(n[:-1] > 1)
+            yield rows(key[begin[done]], least[done], n[done], mark[done])
+            held = [int(key[-1]), int(n[-1]), int(mark[-1]), int(least[-1]), int(number[-1])]
+        if held is not None and held[1] > 1:
+            yield rows([held[0]], [held[3]], [held[1]], [held[2]])
+
+    return map_arrow(keyed.repartition("key").sortWithinPartitions("key", "id"), run, "key long, id long, n long, mark long")
+
+
 def _verified(rows: DataFrame, similarity: float) -> DataFrame:
     """(a, b) links among the rows (key, tile, other, id, set) of each key and pair of tiles."""
 
@@ -142,13 +182,13 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
     marked = written(map_arrow(source, run, schema), "shingled")
     distinct = marked.groupBy("id").agg(F.min(doc_id).alias("least"))
-    keyed = marked.select("id", F.explode("keys").alias("key")).distinct()
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low"), F.sum(F.col("id").cast("decimal(38,0)")).alias("members")).where("n > 1")
+    keyed = marked.select("id", F.explode("keys").alias("key"))
+    shared = written(_shared(keyed), "shared")
     # blocks with the same members are one
-    once = written(met.groupBy("n", "low", "members").agg(F.min("key").alias("key")).select("key", "n"), "blocks")
+    once = shared.where("n is not null").groupBy("n", "mark", "id").agg(F.min("key").alias("key")).select("key", "n")
     tiles = F.ceil(F.col("n") / MOST).cast("int")
     own = F.pmod(F.xxhash64("id"), tiles)
-    rows = keyed.join(once, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("beside"))
+    rows = shared.where("n is null").select("key", "id").join(once, "key").select("key", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("beside"))
     rows = rows.select("key", "id", F.least("own", "beside").alias("tile"), F.greatest("own", "beside").alias("other"))
     sets = marked.groupBy("id").agg(F.min("set").alias("set"))
     links = _verified(rows.join(sets, "id"), similarity)
