@@ -21,11 +21,11 @@ def commitments(messages: DataFrame, *, least: float = 0.45, delay: str = "1 hou
     return found.where("c.at is not null").select("text", "at", F.col("c.at").alias("due"), "c.confidence", "c.cue")
 
 
-def reminders(found: DataFrame, *, delay: str = "1 hour") -> DataFrame:
-    """found with what and the minute it is due, one each."""
+def reminders(found: DataFrame) -> DataFrame:
+    """found (a stream has its watermark on at) with what and the minute it is due, one each."""
     made = found.select(F.substring("text", 1, 90).alias("what"), F.date_trunc("minute", F.col("due") + F.expr("INTERVAL 30 SECONDS")).alias("due_minute"), "due", "at")
     if made.isStreaming:
-        return made.withWatermark("at", delay).dropDuplicatesWithinWatermark(["what", "due_minute"])
+        return made.dropDuplicatesWithinWatermark(["what", "due_minute"])
     return made.dropDuplicates(["what", "due_minute"])
 
 
