@@ -81,7 +81,23 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_BITS = "array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(instr('0123456789abcdef', substr(sha1(payload), i, 1)) - 1), 4, '0')), '')"
+_FIVE = " + ".join(f"{16 >> j} * substr(bits, 5 * k + {j + 1}, 1)::INT" for j in range(5))
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ win AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d), keyed AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM win),
+ hits AS (SELECT doc_id, i FROM keyed WHERE s IN (SELECT s FROM keyed GROUP BY s HAVING count(*) > 1)),
+ gone AS (SELECT DISTINCT doc_id, i + o AS p FROM hits, range(0, 35) r(o)),
+ word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)""",
+    "op9_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), b AS (SELECT *, {_BITS} AS bits, max(page_id) OVER (PARTITION BY payload) AS last FROM p)
+ SELECT page_id, strlen(payload)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {_FIVE}, 1)), '') AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM b""",
+}
 
 if importlib.util.find_spec("corpus_pipeline"):
 
