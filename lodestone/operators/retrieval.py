@@ -5,6 +5,8 @@ Queries are small relations (query_id, ...): a search serves one or a million of
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,18 +116,63 @@ def ranked(scored: DataFrame, *ties: str, by: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col(by).desc(), *map(F.col, ties))))
 
 
+def fnv1a_all(texts: list[str]) -> np.ndarray:
+    """FNV-1a, 32 bits, of each text's code points: one step for the k-th character of all."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    begin = np.cumsum(size) - size
+    h = np.full(len(texts), 2166136261, np.uint64)
+    live = np.flatnonzero(size)
+    k = 0
+    while len(live):
+        h[live] = (h[live] ^ codes[begin[live] + k]) * np.uint64(16777619) & np.uint64(0xFFFFFFFF)
+        k += 1
+        live = live[size[live] > k]
+    return h.astype(np.int64)
+
+
+def _weights(tokens: list[str]) -> Iterator[tuple[str, float]]:
+    """Words, character runs of long words, word pairs."""
+    for word, n in Counter(tokens).items():
+        tf = 1 + math.log(n)
+        yield word, tf
+        if len(word) > 5:
+            share = 0.30 * tf / math.sqrt(len(word) - 3)
+            for i in range(len(word) - 3):
+                yield "c:" + word[i : i + 4], share
+    for pair, n in Counter(zip(tokens, tokens[1:], strict=False)).items():
+        yield "b:" + "_".join(pair), 0.55 * (1 + math.log(n))
+
+
 def features(docs: DataFrame, dim: int = 1536, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, bucket, weight): signed feature hashing of words, word pairs and character runs, of unit length."""
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), T.content_tokens(F.col(text)).alias("t"))
-    words = tokens.select("doc_id", F.explode("t").alias("w")).groupBy("doc_id", "w").agg((1 + F.log(F.count(F.lit(1)))).alias("tf"))
-    runs = words.where(F.length("w") > 5).select("doc_id", "tf", T.char_ngrams(F.col("w")).alias("g"))
-    runs = runs.select("doc_id", F.explode("g").alias("g"), (0.30 * F.col("tf") / F.sqrt(F.size("g"))).alias("weight")).select("doc_id", F.concat(F.lit("c:"), "g").alias("f"), "weight")
-    pairs = tokens.select("doc_id", F.explode(T.bigrams(F.col("t"))).alias("p")).groupBy("doc_id", "p").agg((0.55 * (1 + F.log(F.count(F.lit(1))))).alias("weight"))
-    every = words.select("doc_id", F.col("w").alias("f"), F.col("tf").alias("weight")).unionByName(runs).unionByName(pairs.select("doc_id", F.concat(F.lit("b:"), "p").alias("f"), "weight"))
-    sign = F.when(T.fnv1a(F.concat(F.lit("sgn:"), "f")) % 2 == 1, 1.0).otherwise(-1.0)
-    summed = every.select("doc_id", (T.fnv1a(F.col("f")) % dim).alias("bucket"), (sign * F.col("weight")).alias("weight")).groupBy("doc_id", "bucket").agg(F.sum("weight").alias("weight"))
-    length = summed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return summed.join(length, "doc_id").select("doc_id", "bucket", F.when(F.col("length") > 0, F.col("weight") / F.col("length")).otherwise(0.0).alias("weight"))
+    """(doc_id, bucket, weight): signed feature hashing of words, word pairs and character runs, of unit length.
+
+    A document's features are its own, so this is one map; as a relation of features it would be four shuffles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names: dict[str, int] = {}
+            which, weight, owner = [], [], []
+            for k, tokens in enumerate(batch.column("tokens").to_pylist()):
+                for name, w in _weights(tokens or []):
+                    which.append(names.setdefault(name, len(names)))
+                    weight.append(w)
+                    owner.append(k)
+            if not which:
+                continue
+            every = list(names)
+            bucket, sign = fnv1a_all(every) % dim, np.where(fnv1a_all(["sgn:" + x for x in every]) % 2 == 1, 1.0, -1.0)
+            at = np.array(which)
+            key, inverse = np.unique(np.array(owner, np.int64) * dim + bucket[at], return_inverse=True)
+            total = np.bincount(inverse, np.array(weight) * sign[at], len(key))
+            doc = key // dim
+            length = np.sqrt(np.bincount(doc, total * total, len(batch)))
+            total = np.divide(total, length[doc], out=np.zeros(len(total)), where=length[doc] > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(key % dim), pa.array(total)], names=["doc_id", "bucket", "weight"])
+
+    source = docs.select(F.col(doc_id).alias("doc_id"), T.content_tokens(F.col(text)).alias("tokens"))
+    return source.mapInArrow(run, source.select("doc_id").schema.add("bucket", "long").add("weight", "double"))
 
 
 def sparse_search(space: DataFrame, queries: DataFrame, k: int = 60) -> DataFrame:
@@ -135,19 +182,36 @@ def sparse_search(space: DataFrame, queries: DataFrame, k: int = 60) -> DataFram
     return top_k(scored.withColumn("key", F.round("score", 9)), k, "doc_id", by="key").drop("key")
 
 
+def passage_scores(docs: DataFrame, candidates: DataFrame, hashed: DataFrame) -> DataFrame:
+    """(query_id, doc_id, i, start, passage, score): the best passage of each of candidates (query_id, doc_id)
+    for hashed queries (doc_id as the query, bucket, weight). Only the candidates' texts are cut."""
+    wanted = small(candidates.select("doc_id").distinct())
+    parts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.explode(T.chunk_text(F.col("text"))).alias("c"))
+    parts = parts.select(F.struct("doc_id", "c.i").alias("key"), "c.start", F.col("c.text").alias("text"))
+    asked = small(hashed.select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("q")))
+    scored = features(parts, doc_id="key").join(asked, "bucket").groupBy("query_id", F.col("doc_id").alias("key")).agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score")).where("score > 0")
+    found = scored.withColumn("doc_id", F.col("key.doc_id")).join(small(candidates.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    best = best_passage(found.withColumn("i", F.col("key.i")))
+    return best.join(parts, "key").select("query_id", "doc_id", "i", "start", T.clip_passage(F.col("text")).alias("passage"), "score")
+
+
 def hybrid_search(docs: DataFrame, queries: DataFrame, *, limit: int = 12, arm: int = 60, rescored: int = 40, recency: DataFrame | None = None, scoped: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): words and vectors fused, then the best fused again with exact scores.
+    """(query_id, doc_id, score, rank): words and vectors fused, then the best fused again with the exact scores
+    of the documents and of their best passages.
 
     queries: (query_id, query). ``recency``: (doc_id, created_at), a list of its own in the second fusion.
     """
     texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
     lexical = bm25(docs, queries, arm)
-    semantic = sparse_search(features(docs), features(texts), arm)
+    hashed = features(texts)
+    semantic = sparse_search(features(docs), hashed, arm)
     fused = ranked(rrf([(lexical, 1.0), (semantic, 0.6)]).withColumn("score", F.round("score", 12)), "doc_id").where(F.col("rank") <= rescored)
-    exact = ranked(fused.select("query_id", "doc_id").join(semantic.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).where("score > 0").withColumn("score", F.round("score", 9)), "doc_id")
-    lists = [(fused, 0.5 if scoped else 1.0), (exact, 1.0)]
+    candidates = fused.select("query_id", "doc_id")
+    exact = ranked(candidates.join(semantic.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).where("score > 0").withColumn("score", F.round("score", 9)), "doc_id")
+    passages = ranked(passage_scores(docs, candidates, hashed), "doc_id")
+    lists = [(fused, 0.5 if scoped else 1.0), (exact, 1.0), (passages, 1.3)]
     if recency is not None:
-        lists.append((ranked(fused.select("query_id", "doc_id").join(recency, "doc_id"), "doc_id", by="created_at"), 2.5 if scoped else 0.25))
+        lists.append((ranked(candidates.join(recency, "doc_id"), "doc_id", by="created_at"), 2.5 if scoped else 0.25))
     final = rrf(lists).withColumn("score", F.round("score", 12))
     return top_k(final, limit, "doc_id")
 
