@@ -40,6 +40,7 @@ class _Model:
         self.right = np.full((_CONFIDENCE * _CONFIDENCE * 2, 3), 0.4)
         self.right[:, 0] = 0.8
         self.steps = 0
+        self.seen: list[np.ndarray] = []
         self._frequencies()
         self._mixture()
 
@@ -86,15 +87,17 @@ class _Model:
 
     def learn(self, x: np.ndarray, order: np.ndarray) -> None:
         self.right += np.bincount(self.state * 3 + order, minlength=self.right.size).reshape(self.right.shape)
-        self._mixture()
         for table, sure, at, named, s in ((self.next1, self.sure1, self.b1, self.c1, self.s1), (self.next2, self.sure2, self.b2, self.c2, self.s2)):
             hit = named == x
             table[at] = np.where(hit | (s > 0), named, x)
             sure[at] = np.where(hit, np.minimum(s + 1, _CONFIDENCE - 1), np.maximum(s - 1, 0))
-        self.counts += np.bincount(x, minlength=self.v)
+        self.seen.append(x)
         self.steps += 1
-        if self.steps < 4 or self.steps % 8 == 0:
+        if self.steps < 4 or self.steps % 16 == 0:
+            self.counts += np.bincount(np.concatenate(self.seen), minlength=self.v)
+            self.seen = []
             self._frequencies()
+            self._mixture()
 
 
 def _layout(n: int) -> tuple[int, int]:

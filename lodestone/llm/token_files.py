@@ -33,7 +33,7 @@ _HEAD = struct.Struct("<4sIQII")  # magic, documents, ids, bytes of the table, i
 MAGIC = b"LIDS"
 END = "LIDSEND\n"
 #: Words that a generation of a worker's memory holds at most.
-MEMORY = 200_000
+MEMORY = 500_000
 
 
 class WordEncoder:
