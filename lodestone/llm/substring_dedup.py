@@ -37,7 +37,7 @@ ANCHOR = 12
 #: Places from which an anchor's windows are dealt out one by one.
 HOT = 500
 #: Words of a shard.
-SHARD_WORDS = 400_000
+SHARD_WORDS = 150_000
 
 
 def rolling(h: np.ndarray, length: int) -> np.ndarray:
