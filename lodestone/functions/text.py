@@ -118,8 +118,11 @@ def question_like(title: Column, summary: Column) -> Column:
 
 
 def follow_up(query: Column) -> Column:
+    """Short, or with the beginning or a reference of a follow-up; words end at all but ASCII letters, digits and _,
+    which Java's own word boundary does not say beside other letters."""
     s = F.lower(F.trim(query))
-    return (F.length(s) < 30) | s.rlike(FOLLOW_START) | s.rlike(FOLLOW_REFERENCE)
+    start, reference = (p.replace(r"\b", r"(?:(?<=[a-z0-9_])(?![a-z0-9_])|(?<![a-z0-9_])(?=[a-z0-9_]))") for p in (FOLLOW_START, FOLLOW_REFERENCE))
+    return (F.length(s) < 30) | s.rlike(start) | s.rlike(reference)
 
 
 def norm_name(name: Column) -> Column:

@@ -153,8 +153,8 @@ def question_like(t):
 
 @query(f"SELECT conv_id, turn, length(trim(text)) < 30 OR regexp_matches(lower(trim(text)), '{T.FOLLOW_START}') OR regexp_matches(lower(trim(text)), '{T.FOLLOW_REFERENCE}') AS follow_up FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def follow_up(t):
-    # word boundaries beside letters beyond ASCII differ between regex libraries; the operator takes any text
-    return t("conversations").where(~F.col("text").rlike(r"[^\x00-\x7f]")).select("conv_id", "turn", T.follow_up(F.col("text")).alias("follow_up"))
+    # all turns; the SQL has only those in ASCII, so its rows are a part of these
+    return t("conversations").select("conv_id", "turn", T.follow_up(F.col("text")).alias("follow_up"))
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (NOT light) AS complete, count(*) FILTER (light) AS title_only, round(100.0 * count(*) FILTER (NOT light) / count(*), 6)::DOUBLE AS pct FROM (SELECT length(text) < 40 OR text = '' AS light FROM documents)")
