@@ -1,7 +1,10 @@
 """Queries over all of their input, against brute force."""
 
+import math
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone import queries as engine
@@ -25,3 +28,38 @@ def test_follow_up_beside_letters_beyond_ascii(spark):
     texts = ["Une question sur la qualité du vin de la région", "soße und noch viele weitere Wörter in dem Satz", "Über den Fluss gehen wir nach Hause, ité missa est", "Wir gehen heute Abend über den langen Fluss"]
     got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", T.follow_up(F.col("text")).alias("f")).collect()
     assert {r.text: r.f for r in got} == {t: is_follow_up(t) for t in texts} == dict(zip(texts, [False, True, True, False], strict=True))
+
+
+def tokens(spark, table, key, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key, T.content_tokens(F.col("text")).alias("t")).collect()
+    return {r[key]: r.t for r in rows}
+
+
+def brute_bm25(docs, questions, k, allowed):
+    tf = {d: Counter(ts) for d, ts in docs.items()}
+    df = Counter(w for c in tf.values() for w in c)
+    mean = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for q, words in questions.items():
+        score = {}
+        for d in filter(allowed, docs):
+            s = sum(math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for w in set(words) if w in tf[d])
+            if s > 0:
+                score[d] = s
+        out |= {(q, d): score[d] for d in sorted(score, key=lambda d: (-score[d], d))[:k]}
+    return out
+
+
+def test_the_question_set_is_whole(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet")
+    asked = engine._questions(lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet"))
+    assert {tuple(r) for r in asked.collect()} == {(r.item_id, r.text) for r in bench.collect() if r.item_id % 50 == 0}
+
+
+@pytest.mark.parametrize(("name", "allowed"), [("bm25", lambda d: True), ("filtered_search", lambda d: d % 2 == 0)])
+def test_whole_questions_against_brute_force(spark, sf_dir, name, allowed):
+    items = tokens(spark, "benchmark", "item_id", sf_dir)
+    want = brute_bm25(tokens(spark, "documents", "doc_id", sf_dir), {q: t for q, t in items.items() if q % 50 == 0}, 60, allowed)
+    got = {(r.query_id, r.doc_id): r.score for r in engine.QUERIES[name](spark, sf_dir).collect()}
+    assert len(want) > 10
+    assert got == pytest.approx(want, abs=2e-6)
