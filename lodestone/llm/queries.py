@@ -55,7 +55,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"), doc_mod5() == 1, doc_mod5() == 0)
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), doc_mod5() == 1, doc_mod5() == 0, order=3)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,8 @@ def test_odd_rows(spark):
     assert L.lm_scores(docs_frame(spark, []), doc_mod5() == 1, doc_mod5() == 0).count() == 0
     none = L.lm_scores(docs_frame(spark, ["a b"]), F.lit(True), F.lit(False)).first()
     assert (none.n_tokens, none.n_known, none.train_tokens, none.base_score) == (3, 0, 0, 0.0)
+
+
+def test_the_query_has_trigrams(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    compare(op8_lm_score(spark, sf_dir).collect(), brute(rows, 3))
