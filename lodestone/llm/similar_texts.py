@@ -74,10 +74,17 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     sizes = np.fromiter(map(len, sets), np.int64, n)
     known, column = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
-    root, out, todo = np.arange(n), [], list(range(n))
+    root, out, left = np.arange(n), [], np.ones(n, bool)
     flag = np.zeros(len(known), bool)
-    while todo:
-        i = todo.pop(0)
+    while len(out) < n - 1:
+        # all links but those within one component have been seen when the unvisited are all in it; which one
+        # it is may change, so it is chosen anew: the one with the most unvisited
+        todo = np.flatnonzero(left)
+        todo = todo[root[todo] != np.bincount(root[todo], minlength=n).argmax()] if len(todo) else todo
+        if not len(todo):
+            break
+        i = int(todo[0])
+        left[i] = False
         own = column[begin[i] : begin[i] + sizes[i]]
         flag[own] = True
         both = np.add.reduceat(flag[column].astype(np.int64), begin) if sizes.all() else np.array([flag[column[b : b + s]].sum() for b, s in zip(begin, sizes, strict=True)])
@@ -87,12 +94,6 @@ def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
             if r != root[i]:
                 out.append((i, int(near[root[near] == r][0])))
                 root[root == r] = root[i]
-        # a link between two components has an end outside the largest
-        if len(out) == n - 1:
-            break
-        names, count = np.unique(root, return_counts=True)
-        largest = names[count.argmax()]
-        todo = [k for k in todo if root[k] != largest] if count.max() > 1 else todo
     return out
 
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from lodestone.llm import similar_texts as S
 
 from .helpers import ODD, docs_frame, lower, words
@@ -59,3 +61,24 @@ def test_no_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b c"), (7, "A b c"), (7, "a b c")], "doc_id long, text string")
     assert [r.component_id for r in S.similar_groups(docs).collect()] == [7] * 3
     assert [r.doc_id for r in S.one_of_each(docs).collect()] .count(7) == 2
+
+
+def joined(n, links):
+    root = list(range(n))
+    for a, b in links:
+        root = [root[a] if r == root[b] else r for r in root]
+    return {frozenset(k for k in range(n) if root[k] == r) for r in root}
+
+
+def test_forest_is_exact_when_the_largest_component_changes():
+    # a1, b1, a2, a3, b2, b3, b4: a3 and a2 are near a1, the b near b1, and only a2 and b2 link the two
+    drift = [np.arange(s, s + 100, dtype="<u4") for s in (50, 80, 60, 49, 70, 81, 82)]
+    links = S.forest(drift, 0.8)
+    assert len(links) == 6 and joined(7, links) == {frozenset(range(7))}
+    r = random.Random(5)
+    for _ in range(300):
+        sets = [np.arange(s, s + 100, dtype="<u4") for s in (r.randrange(200) for _ in range(r.randrange(2, 14)))]
+        near = [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) - 1e-9]
+        links = S.forest(sets, 0.8)
+        assert joined(len(sets), links) == joined(len(sets), near)
+        assert len(links) == len(sets) - len(joined(len(sets), near))
