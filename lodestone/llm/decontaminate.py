@@ -7,7 +7,8 @@ fingerprints within ``radius`` = 20 bits differ by at most two bits in one block
 block values within two bits misses none. Candidates within the radius are then verified exactly: the
 shingles, weighted by how often each occurs, must have a weighted Jaccard similarity of ``threshold``
 or more. At 0.8 the fingerprints differ by 10 bits on average, and by more than 20 in about one window
-of 5,000; an occurrence has several windows.
+of 5,000; an occurrence has several windows. A document of fewer than m words is one window, all of it,
+and is verified without fingerprints, as it has no second window that a miss could fall back on.
 
 A-Z count as a-z. An item of fewer than five words is one shingle, its whole sequence; an item without
 words matches nothing. The items are a stated query set: they are broadcast in blocks of ``MOST_ITEMS``
@@ -68,6 +69,7 @@ class ItemIndex:
         self.ids, self.words, self.counted, self.fp = [], [], [], []
         self.of_shingle: dict[int, dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
         self.block: dict[tuple[int, int, int], list[int]] = defaultdict(list)
+        self.of_size: dict[int, list[int]] = defaultdict(list)
         for item_id, text in items:
             words = text.lower().split()  # of bytes: folds A-Z only
             if not words:
@@ -81,6 +83,7 @@ class ItemIndex:
             self.words.append(len(words))
             self.counted.append(_counted(words, length))
             self.fp.append(fp)
+            self.of_size[len(words)].append(n)
             for s in shingles.tolist():
                 self.of_shingle[length][s].add(len(words))
             for b in range(8):
@@ -88,6 +91,7 @@ class ItemIndex:
                     self.block[len(words), b, value].append(n)
         self.of_shingle = {k: dict(v) for k, v in self.of_shingle.items()}
         self.block = dict(self.block)
+        self.of_size = dict(self.of_size)
         self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in self.of_shingle.items()}
         bits = max(16, min(24, sum(map(len, self.sorted.values())).bit_length() + 6))
         self.mask = np.uint64((1 << bits) - 1)
@@ -107,17 +111,28 @@ class ItemIndex:
             for p, v in zip(at[hit].tolist(), s[hit].tolist(), strict=True):
                 yield p, v, length
 
-    def search(self, h: np.ndarray, doc: np.ndarray, bounds: np.ndarray, word_at) -> Iterator[tuple[int, int, int, float]]:
-        """(document, item, first word, similarity) of the best window of each occurrence."""
+    def search(self, h: np.ndarray, doc: np.ndarray, bounds: np.ndarray, word_at) -> Iterator[tuple[int, int, int, int, float]]:
+        """(document, item, first word, words, similarity) of the best window of each occurrence."""
         windows: dict[tuple[int, int], set[int]] = defaultdict(set)
+        short: set[tuple[int, int]] = set()
         for p, v, length in self.seeds(h, doc):
             d = int(doc[p])
             lo, hi = int(bounds[d]), int(bounds[d + 1])
             for m in self.of_shingle[length][v]:
+                if hi - lo < m:
+                    short.add((d, m))
+                    continue
                 windows[d, m].update(range(max(lo, p + length - m), min(p, hi - m) + 1))
+        for d, m in short:
+            lo, hi = int(bounds[d]), int(bounds[d + 1])
+            length = min(WORDS, m)
+            # no more shingles in common than the document has
+            if (hi - lo - length + 1) / (m - length + 1) >= self.threshold:
+                own = _counted([word_at(k) for k in range(lo, hi)], length)
+                for n in self.of_size[m]:
+                    if (similarity := weighted_jaccard(own, self.counted[n])) >= self.threshold:
+                        yield d, n, lo, hi - lo, similarity
         for (d, m), starts in windows.items():
-            if not starts:
-                continue
             length = min(WORDS, m)
             at, per = np.array(sorted(starts)), m - length + 1
             first = int(at[0])
@@ -137,13 +152,13 @@ class ItemIndex:
                 best = None
                 for start, similarity in hits:
                     if best is not None and start >= best[2] + m:
-                        yield d, n, best[0], best[1]
+                        yield d, n, best[0], m, best[1]
                         best = None
                     if best is None:
                         best = [start, similarity, start]
                     elif similarity > best[1]:
                         best[:2] = start, similarity
-                yield d, n, best[0], best[1]
+                yield d, n, best[0], m, best[1]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, threshold: float = 0.8, radius: int = 20, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -167,15 +182,15 @@ def _item_blocks(items: DataFrame, radius: int, threshold: float) -> Iterator[It
         yield ItemIndex([(r["item_id"], (r["text"] or "").encode()) for r in some], radius, threshold)
 
 
-def _search(items: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, float]]:
-    """(row, item, first word in the row, similarity)."""
+def _search(items: ItemIndex, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:
+    """(row, item, first word in the row, words, similarity)."""
     data, offsets = text_bytes(texts)
     data = _FOLD[data]
     starts, ends, bounds = word_spans(data, offsets)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     raw = data.tobytes()
     found = items.search(hash_words(data, starts, ends), doc, bounds, lambda k: raw[starts[k] : ends[k]])
-    return [(d, n, start - int(bounds[d]), similarity) for d, n, start, similarity in found]
+    return [(d, n, start - int(bounds[d]), words, similarity) for d, n, start, words, similarity in found]
 
 
 def _find(source: DataFrame, schema, index: ItemIndex) -> DataFrame:
@@ -186,10 +201,10 @@ def _find(source: DataFrame, schema, index: ItemIndex) -> DataFrame:
         kind = pa.array(items.ids).type if items.ids else pa.int64()
         for batch in steps(batches, "text__"):
             if rows := _search(items, batch.column("text__")):
-                d, n, start, similarity = zip(*rows, strict=True)
+                d, n, start, words, similarity = zip(*rows, strict=True)
                 begin = np.array(start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(d)), pa.array([items.ids[k] for k in n], kind), pa.array(begin), pa.array(begin + [items.words[k] for k in n]), pa.array(similarity)],
+                    [batch.column(0).take(pa.array(d)), pa.array([items.ids[k] for k in n], kind), pa.array(begin), pa.array(begin + words), pa.array(similarity)],
                     names=schema.names,
                 )
 

@@ -61,3 +61,36 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert D.find_contamination(docs, bench.limit(0)).count() == 0
     assert D.find_contamination(docs_frame(spark, []), bench).count() == 0
     assert D.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def brute_short(texts, items, threshold=0.8):
+    """As brute, for documents shorter than the item: the whole document against it."""
+    out = {}
+    for n, item in items:
+        iw = words(lower(item))
+        k = min(5, len(iw))
+        for d, text in enumerate(texts):
+            w = words(lower(text))
+            if k <= len(w) < len(iw):
+                a, b = (Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1)) for x in (iw, w))
+                j = sum((a & b).values()) / sum((a | b).values())
+                if j >= threshold:
+                    out[d, n] = j
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    r = random.Random(11)
+    items = [(n, " ".join(f"w{r.randrange(5000)}" for _ in range(size))) for n, size in enumerate((59, 59, 40, 24, 9, 9, 6, 5, 3))]
+    texts = [" ".join(w for i, w in enumerate(words(items[0][1])) if i != 29)]  # 0.847
+    for _, item in items:
+        for cut in (1, 2, 5, 9):
+            texts += [" ".join(words(item)[cut:]).upper(), " ".join(words(item)[:-cut]), " ".join(words(item)[:cut])]
+    texts += [*ODD, items[2][1]]
+    docs, bench = docs_frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = D.find_contamination(docs, bench).collect()
+    want = brute(texts, items) | brute_short(texts, items)
+    assert {(x.doc_id, x.item_id): x.similarity for x in rows} == want
+    assert len(brute_short(texts, items)) > 10 and round(want[0, 0], 3) == 0.847
+    assert next((x.start_word, x.end_word) for x in rows if x.doc_id == 0) == (0, 58)
+    assert {x.doc_id for x in D.decontaminate(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
