@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -69,12 +70,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 60, allowed: DataFrame |
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 60, *, quantised: bool = False, exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest of vectors (vec_id, embedding) to each of queries
     (query_id, vector). Each task multiplies its rows with a block of queries and sends on its own k best,
-    so the shuffle holds k rows a task and query. Queries are a stated set, taken in blocks."""
-    rows = [(r["query_id"], np.array(r["vector"], np.float64)) for r in queries.orderBy("query_id").limit(BROADCAST_ROWS + 1).collect()]
-    if len(rows) > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} queries: search in blocks of them")
-    ids = [q for q, _ in rows]
-    q = np.array([v for _, v in rows]) if rows else np.zeros((0, 0))
+    so the shuffle holds k rows a task and query. Queries are a stated set, taken in blocks of ``BROADCAST_ROWS``:
+    each block meets all vectors, and the best of a query are those of all its blocks."""
+    asked = ((r["query_id"], np.array(r["vector"], np.float64)) for r in queries.orderBy("query_id").select("query_id", "vector").toLocalIterator())
+    found = None
+    for rows in batched(asked, BROADCAST_ROWS):
+        part = _scored(vectors, [q for q, _ in rows], np.array([v for _, v in rows]), k, quantised, exclude_self)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = _scored(vectors, [], np.zeros((0, 0)), k, quantised, exclude_self)
+    return top_k(found.withColumn("key", F.round("score", 9)), k, "vec_id", by="key").drop("key")
+
+
+def _scored(vectors: DataFrame, ids: list[int], q: np.ndarray, k: int, quantised: bool, exclude_self: bool) -> DataFrame:
+    """(query_id, vec_id, score): each task's k best for a block of queries with these ids and vectors."""
 
     def steps_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scale = np.abs(m).max(1, initial=0) / 127
@@ -99,8 +108,7 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 60, *, quanti
                 best = best[np.isfinite(s[best])]
                 yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), pa.int64()), pa.array(numbers[best]), pa.array(s[best])], names=["query_id", "vec_id", "score"])
 
-    found = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-    return top_k(found.withColumn("key", F.round("score", 9)), k, "vec_id", by="key").drop("key")
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def rrf(lists: list[tuple[DataFrame, float]], key: str = "doc_id", k: int = RRF_K) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone import queries as engine
 from lodestone.functions import text as T
+from lodestone.operators import retrieval
 
 
 def is_follow_up(text):
@@ -63,3 +64,14 @@ def test_whole_questions_against_brute_force(spark, sf_dir, name, allowed):
     got = {(r.query_id, r.doc_id): r.score for r in engine.QUERIES[name](spark, sf_dir).collect()}
     assert len(want) > 10
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_vector_search_takes_blocks_of_queries(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = [sorted(map(tuple, retrieval.vector_search(vectors, asked, 4, quantised=z, exclude_self=True).collect())) for z in (False, True)]
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 3)
+    got = [sorted(map(tuple, retrieval.vector_search(vectors, asked, 4, quantised=z, exclude_self=True).collect())) for z in (False, True)]
+    assert [[(r[:2], r[3]) for r in x] for x in got] == [[(r[:2], r[3]) for r in x] for x in want] and len(got[0]) == 40
+    assert [r[2] for x in got for r in x] == pytest.approx([r[2] for x in want for r in x])
+    assert retrieval.vector_search(vectors, asked.limit(0), 4).count() == 0
