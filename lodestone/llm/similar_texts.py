@@ -200,7 +200,14 @@ def similar_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8,
 
 
 def one_of_each(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of docs (doc_id, text) whose id names their group: one document of each stays."""
-    found = similar_groups(docs, words=words, similarity=similarity)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs (doc_id, text) without the other documents of each group: those whose id names it stay, and of a
+    group without ids one row. Rows are told apart by id and text, so a text goes with its own group only."""
+    key = F.xxhash64("text")
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key.alias("text_key")).alias("row"), "text")
+    found = similar_groups(rows, words=words, similarity=similarity, doc_id="row").select("row.*", F.col("component_id").alias("first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (~F.col("none") | (F.col("text_key") == F.col("first.text_key")))
+    gone = written(found.where(~stays).select("doc_id", "text_key").distinct(), "gone")
+    # gone grows with docs, so it is never broadcast
+    left = docs.where("doc_id is not null").join(gone.where("doc_id is not null").hint("shuffle_hash"), (docs["doc_id"] == gone["doc_id"]) & (key == F.col("text_key")), "left_anti")
+    nameless = docs.where("doc_id is null").join(gone.where("doc_id is null"), key == F.col("text_key"), "left_anti")
+    return left.unionByName(nameless.dropDuplicates(["text"]))

@@ -82,3 +82,11 @@ def test_forest_is_exact_when_the_largest_component_changes():
         links = S.forest(sets, 0.8)
         assert joined(len(sets), links) == joined(len(sets), near)
         assert len(links) == len(sets) - len(joined(len(sets), near))
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    rows = [(None, "a b c d e f"), (3, "A b c d e f"), (5, "one two three four five six"), (9, "A B c d e f"), (9, "clean text of its own here"), (None, "x y z q r s"), (None, "X y z q r s"), (None, "x y z q r s"), (4, None)]
+    kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    named = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None)
+    assert named == [(3, "A b c d e f"), (4, None), (5, "one two three four five six"), (9, "clean text of its own here")]
+    assert [r.text.lower() for r in kept if r.doc_id is None] == ["x y z q r s"]
