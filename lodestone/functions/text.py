@@ -6,6 +6,7 @@ import html as html_entities
 import re
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -44,17 +45,51 @@ LINE_ENDS = r"(?i)</(p|div|li|h[1-6]|blockquote|article|section|tr)>"
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&#x27;", "'")]
 
 
+# A token is a CJK character of a word, or a run of two or more other characters of it; a run begins with a letter or
+# digit, or right after a CJK character. A text without CJK characters has runs only.
+_CJK = rf"[{CJK}&&[\p{{L}}\p{{N}}]]"
+_REST = r"[\p{L}\p{N}'’·\-]"
+_REST_CJK = rf"[\p{{L}}\p{{N}}'’·\-&&[^{CJK}]]"
+TOKEN = rf"([\p{{L}}\p{{N}}]{_REST}+)"
+TOKEN_CJK = rf"({_CJK}|(?:[\p{{L}}\p{{N}}&&[^{CJK}]]|(?<={_CJK})['’·-]){_REST_CJK}+)"
+
+
+def _passed_over(rest: str) -> str:
+    """What is a stopword as a whole matches without a group; a look at its length first, as most words are longer."""
+    by_first: dict[str, list[str]] = {}
+    for w in STOPWORDS:
+        by_first.setdefault(w[0], []).append(w[1:])
+    words = "|".join(f"{first}(?:{'|'.join(ends)})" for first, ends in by_first.items())
+    return rf"(?=[a-z]{{1,{max(map(len, STOPWORDS))}}}(?!{rest}))(?:{words})(?!{rest})"
+
+
+def _tokens(text: Column, plain: str, cjk: str) -> Column:
+    s = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(s.rlike(f"[{CJK}]"), F.regexp_extract_all(s, F.lit(cjk), F.lit(1))).otherwise(F.regexp_extract_all(s, F.lit(plain), F.lit(1)))
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case words of two characters or more; each character of a CJK script is a word."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORD})"), F.lit(1))
-    split = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit(f"([{CJK}]|[^{CJK}]+)"), F.lit(1))))
-    return F.filter(split, lambda w: (F.length(w) >= 2) | w.rlike(f"^[{CJK}]$"))
+    return _tokens(text, TOKEN, TOKEN_CJK)
 
 
 def content_tokens(text: Column) -> Column:
     """Tokens that are no stopwords, repeats included."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokenize(text), lambda w: ~F.array_contains(stop, w))
+    return F.array_remove(_tokens(text, f"{_passed_over(_REST)}|{TOKEN}", f"{_passed_over(_REST_CJK)}|{TOKEN_CJK}"), "")
+
+
+_WORDS, _HAS_CJK, _PARTS = regex.compile(WORD), regex.compile(f"[{CJK}]"), regex.compile(f"[{CJK}]|[^{CJK}]+")
+_STOP = frozenset(STOPWORDS)
+
+
+def content_words(text: str | None) -> list[str]:
+    """``content_tokens`` of one text, for what is in Python already."""
+    s = (text or "").lower()
+    words = _WORDS.findall(s)
+    if _HAS_CJK.search(s):
+        words = [p for w in words for p in _PARTS.findall(w)]
+        return [w for w in words if w not in _STOP and (len(w) > 1 or _HAS_CJK.match(w))]
+    return [w for w in words if len(w) > 1 and w not in _STOP]
 
 
 def bigrams(tokens: Column) -> Column:

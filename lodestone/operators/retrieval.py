@@ -1,4 +1,4 @@
-"""Retrieval: postings, BM25, exact and quantised vector search, rank fusion, hybrid search, diversity.
+"""Retrieval: postings, exact and quantised vector search, rank fusion, hashed features, diversity. ``search`` has the stored index.
 
 Queries are small relations (query_id, ...): a search serves one or a million of them with one plan.
 """
@@ -6,7 +6,6 @@ Queries are small relations (query_id, ...): a search serves one or a million of
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import batched
 
@@ -21,13 +20,8 @@ from ..functions import vector as V
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Rows of the query side up to which it is broadcast.
-BROADCAST_ROWS = 10_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has few rows, by a count that stops at the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Queries that meet the vectors together, and vectors that are multiplied at once.
+BROADCAST_ROWS, _STEP = 1000, 2048
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -48,25 +42,6 @@ def top_k(scored: DataFrame, k: int, *ties: str, by: str = "score", per: str | N
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 60, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, score, rank) of queries (query_id, query). ``allowed`` (doc_id) restricts the
-    results, not the corpus statistics."""
-    index = postings(docs)
-    stats = doc_lengths(docs)
-    corpus = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("avgdl")).first()
-    terms = queries.select("query_id", F.explode(F.array_distinct(T.content_tokens(F.col("query")))).alias("term"))
-    wanted = small(terms.select("term").distinct())
-    hit = index.join(wanted, "term")  # only postings of query terms go on
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    if allowed is not None:
-        hit = hit.join(allowed.select("doc_id"), "doc_id", "left_semi")
-    scored = hit.join(small(terms), "term").join(df, "term").join(stats, "doc_id")
-    idf = F.log(1 + (F.lit(corpus["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(corpus["avgdl"] or 1.0)))
-    total = scored.groupBy("query_id", "doc_id").agg(F.sum(idf * weight).alias("score")).where("score > 0")
-    return top_k(total, k, "doc_id")
-
-
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 60, *, quantised: bool = False, exclude_self: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest of vectors (vec_id, embedding) to each of queries
     (query_id, vector). Each task multiplies its rows with a block of queries and sends on its own k best,
@@ -82,31 +57,60 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 60, *, quanti
     return top_k(found.withColumn("key", F.round("score", 9)), k, "vec_id", by="key").drop("key")
 
 
+class Best:
+    """The k best rows of each query among those that were added: by score to 9 digits, then the lower id."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(queries)]
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: a row for each id, a column for each query; -inf is never held."""
+        key = np.round(scores, 9)
+        row, query = np.nonzero((key >= self.least) & np.isfinite(key))
+        order = np.argsort(query, kind="stable")
+        row, query = row[order], query[order]
+        begin = np.flatnonzero(np.diff(query, prepend=-1))
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(query)], strict=True):
+            j = int(query[a])
+            score = np.concatenate([self.held[j][0], scores[row[a:b], j]])
+            number = np.concatenate([self.held[j][1], ids[row[a:b]]])
+            best = np.lexsort((number, -np.round(score, 9)))[: self.k]
+            self.held[j] = score[best], number[best]
+            if len(best) == self.k:
+                self.least[j] = np.round(score[best[-1]], 9)
+
+    def rows(self, queries: np.ndarray, name: str, among: np.ndarray | None = None) -> pa.RecordBatch:
+        held = [(q, s, n) for j, (q, (s, n)) in enumerate(zip(queries.tolist(), self.held, strict=True)) if among is None or among[j]]
+        columns = [np.repeat(np.array([q for q, _, _ in held], np.int64), [len(s) for _, s, _ in held]), np.concatenate([np.zeros(0, np.int64), *(n for _, _, n in held)]), np.concatenate([np.zeros(0), *(s for _, s, _ in held)])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", name, "score"])
+
+
 def _scored(vectors: DataFrame, ids: list[int], q: np.ndarray, k: int, quantised: bool, exclude_self: bool) -> DataFrame:
     """(query_id, vec_id, score): each task's k best for a block of queries with these ids and vectors."""
+    asked = np.array(ids, np.int64)
 
     def steps_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scale = np.abs(m).max(1, initial=0) / 127
         return np.clip(np.floor(m / np.where(scale > 0, scale, 1)[:, None] + 0.5), -127, 127), scale
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), k)
         for batch in batches:
-            if not len(batch) or not ids:
-                continue
-            numbers = np.array(batch.column("vec_id").to_pylist(), np.int64)
-            m = np.array(batch.column("embedding").to_pylist(), np.float64)
-            if quantised:
-                (a, sa), (b, sb) = steps_of(m), steps_of(q)
-                scores = (a @ b.T) * sa[:, None] * sb
-            else:
-                scores = m @ q.T
-            for j, query in enumerate(ids):
-                s = scores[:, j].copy()
+            for begin in range(0, len(batch) if ids else 0, _STEP):
+                some = batch.slice(begin, _STEP)
+                numbers = some.column("vec_id").to_numpy(zero_copy_only=False)
+                m = some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
+                if quantised:
+                    (a, sa), (b, sb) = steps_of(m), steps_of(q)
+                    scores = (a @ b.T) * sa[:, None] * sb
+                else:
+                    scores = m @ q.T
                 if exclude_self:
-                    s[numbers == query] = -np.inf
-                best = np.lexsort((numbers, -np.round(s, 12)))[:k]
-                best = best[np.isfinite(s[best])]
-                yield pa.RecordBatch.from_arrays([pa.array([query] * len(best), pa.int64()), pa.array(numbers[best]), pa.array(s[best])], names=["query_id", "vec_id", "score"])
+                    scores[numbers[:, None] == asked] = -np.inf
+                best.add(numbers, scores)
+        yield best.rows(asked, "vec_id")
 
     return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
@@ -139,91 +143,85 @@ def fnv1a_all(texts: list[str]) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def _weights(tokens: list[str]) -> Iterator[tuple[str, float]]:
-    """Words, character runs of long words, word pairs."""
-    for word, n in Counter(tokens).items():
-        tf = 1 + math.log(n)
-        yield word, tf
-        if len(word) > 5:
-            share = 0.30 * tf / math.sqrt(len(word) - 3)
-            for i in range(len(word) - 3):
-                yield "c:" + word[i : i + 4], share
-    for pair, n in Counter(zip(tokens, tokens[1:], strict=False)).items():
-        yield "b:" + "_".join(pair), 0.55 * (1 + math.log(n))
+# What a run of characters and a pair of words weigh beside a word, and which words have runs.
+_RUN, _PAIR, _RUNS_FROM = 0.30, 0.55, 6
+
+
+class Counts:
+    """The distinct words of documents, and (document, word, n) by document."""
+
+    def __init__(self, token_lists: list[list[str]]):
+        words: dict[str, int] = {}
+        self.size = np.array([len(ts or []) for ts in token_lists], np.int64)
+        self.flat = np.array([words.setdefault(t, len(words)) for ts in token_lists for t in ts or []], np.int64)
+        self.owner = np.repeat(np.arange(len(token_lists)), self.size)
+        self.words = list(words)
+        many = max(1, len(words))
+        key, self.n = np.unique(self.owner * many + self.flat, return_counts=True)
+        self.doc, self.word = key // many, key % many
+
+
+def hashed(token_lists: list[list[str]], dim: int, counts: Counts | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket, weight) of each document's tokens, of unit length: signed feature hashing of words, of runs of
+    four characters in long words, and of pairs of words. Each distinct feature is hashed once."""
+    counts = counts or Counts(token_lists)
+    words, flat, owner = counts.words, counts.flat, counts.owner
+    if not len(flat):
+        return flat, flat, np.zeros(0)
+    many = len(words)
+    # the features of each distinct word
+    names: dict[str, int] = {}
+    which, share, cut = [], [], [0]
+    for word in words:
+        runs = len(word) - 3 if len(word) >= _RUNS_FROM else 0
+        which.append(names.setdefault(word, len(names)))
+        which += [names.setdefault("c:" + word[i : i + 4], len(names)) for i in range(runs)]
+        share += [1.0] + [_RUN / math.sqrt(runs)] * runs if runs else [1.0]
+        cut.append(len(which))
+    which, share, cut = np.array(which), np.array(share), np.array(cut)
+    doc, word, tf = counts.doc, counts.word, 1 + np.log(counts.n)
+    size = np.diff(cut)[word]
+    upto = np.cumsum(size)
+    at = np.repeat(cut[word] - upto + size, size) + np.arange(int(upto[-1]))
+    follow = owner[1:] == owner[:-1]
+    pair, inverse = np.unique(flat[:-1][follow] * many + flat[1:][follow], return_inverse=True)
+    first = len(names)
+    every = [*names, *(f"b:{words[a]}_{words[b]}" for a, b in zip((pair // many).tolist(), (pair % many).tolist(), strict=True))]
+    key, n = np.unique(owner[1:][follow] * max(1, len(pair)) + inverse, return_counts=True)
+    feature = np.concatenate([which[at], first + key % max(1, len(pair))])
+    weight = np.concatenate([np.repeat(tf, size) * share[at], _PAIR * (1 + np.log(n))])
+    document = np.concatenate([np.repeat(doc, size), key // max(1, len(pair))])
+    bucket, sign = fnv1a_all(every) % dim, np.where(fnv1a_all(["sgn:" + x for x in every]) % 2 == 1, 1.0, -1.0)
+    key, inverse = np.unique(document * dim + bucket[feature], return_inverse=True)
+    total = np.bincount(inverse, weight * sign[feature], len(key))
+    document = key // dim
+    length = np.sqrt(np.bincount(document, total * total, len(token_lists)))
+    return document, key % dim, np.divide(total, length[document], out=np.zeros(len(total)), where=length[document] > 0)
+
+
+def dense(token_lists: list[list[str]], dim: int = 1536, counts: Counts | None = None) -> np.ndarray:
+    """A unit vector for each document; zeros for one without tokens."""
+    out = np.zeros((len(token_lists), dim))
+    document, bucket, weight = hashed(token_lists, dim, counts)
+    out[document, bucket] = weight
+    return out
 
 
 def features(docs: DataFrame, dim: int = 1536, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, bucket, weight): signed feature hashing of words, word pairs and character runs, of unit length.
-
-    A document's features are its own, so this is one map; as a relation of features it would be four shuffles.
-    """
+    """(doc_id, bucket, weight) as by ``hashed``. A document's features are its own, so this is one map; as a relation of
+    features it would be four shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names: dict[str, int] = {}
-            which, weight, owner = [], [], []
-            for k, tokens in enumerate(batch.column("tokens").to_pylist()):
-                for name, w in _weights(tokens or []):
-                    which.append(names.setdefault(name, len(names)))
-                    weight.append(w)
-                    owner.append(k)
-            if not which:
-                continue
-            every = list(names)
-            bucket, sign = fnv1a_all(every) % dim, np.where(fnv1a_all(["sgn:" + x for x in every]) % 2 == 1, 1.0, -1.0)
-            at = np.array(which)
-            key, inverse = np.unique(np.array(owner, np.int64) * dim + bucket[at], return_inverse=True)
-            total = np.bincount(inverse, np.array(weight) * sign[at], len(key))
-            doc = key // dim
-            length = np.sqrt(np.bincount(doc, total * total, len(batch)))
-            total = np.divide(total, length[doc], out=np.zeros(len(total)), where=length[doc] > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(key % dim), pa.array(total)], names=["doc_id", "bucket", "weight"])
+            for begin in range(0, len(batch), 256):
+                some = batch.slice(begin, 256)
+                document, bucket, weight = hashed(some.column("tokens").to_pylist(), dim)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id").take(pa.array(document)), pa.array(bucket), pa.array(weight)], names=["doc_id", "bucket", "weight"])
 
     source = docs.select(F.col(doc_id).alias("doc_id"), T.content_tokens(F.col(text)).alias("tokens"))
     return source.mapInArrow(run, source.select("doc_id").schema.add("bucket", "long").add("weight", "double"))
 
 
-def sparse_search(space: DataFrame, queries: DataFrame, k: int = 60) -> DataFrame:
-    """(query_id, doc_id, score, rank): dot products of hashed texts (doc_id, bucket, weight) with hashed queries."""
-    q = small(queries.select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("q")))
-    scored = space.join(q, "bucket").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
-    return top_k(scored.withColumn("key", F.round("score", 9)), k, "doc_id", by="key").drop("key")
-
-
-def passage_scores(docs: DataFrame, candidates: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(query_id, doc_id, i, start, passage, score): the best passage of each of candidates (query_id, doc_id)
-    for hashed queries (doc_id as the query, bucket, weight). Only the candidates' texts are cut."""
-    wanted = small(candidates.select("doc_id").distinct())
-    parts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", F.explode(T.chunk_text(F.col("text"))).alias("c"))
-    parts = parts.select(F.struct("doc_id", "c.i").alias("key"), "c.start", F.col("c.text").alias("text"))
-    asked = small(hashed.select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("q")))
-    scored = features(parts, doc_id="key").join(asked, "bucket").groupBy("query_id", F.col("doc_id").alias("key")).agg(F.round(F.sum(F.col("weight") * F.col("q")), 9).alias("score")).where("score > 0")
-    found = scored.withColumn("doc_id", F.col("key.doc_id")).join(small(candidates.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
-    best = best_passage(found.withColumn("i", F.col("key.i")))
-    return best.join(parts, "key").select("query_id", "doc_id", "i", "start", T.clip_passage(F.col("text")).alias("passage"), "score")
-
-
-def hybrid_search(docs: DataFrame, queries: DataFrame, *, limit: int = 12, arm: int = 60, rescored: int = 40, recency: DataFrame | None = None, scoped: bool = False) -> DataFrame:
-    """(query_id, doc_id, score, rank): words and vectors fused, then the best fused again with the exact scores
-    of the documents and of their best passages.
-
-    queries: (query_id, query). ``recency``: (doc_id, created_at), a list of its own in the second fusion.
-    """
-    texts = queries.select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    lexical = bm25(docs, queries, arm)
-    hashed = features(texts)
-    semantic = sparse_search(features(docs), hashed, arm)
-    fused = ranked(rrf([(lexical, 1.0), (semantic, 0.6)]).withColumn("score", F.round("score", 12)), "doc_id").where(F.col("rank") <= rescored)
-    candidates = fused.select("query_id", "doc_id")
-    exact = ranked(candidates.join(semantic.select("query_id", "doc_id", "score"), ["query_id", "doc_id"]).where("score > 0").withColumn("score", F.round("score", 9)), "doc_id")
-    passages = ranked(passage_scores(docs, candidates, hashed), "doc_id")
-    lists = [(fused, 0.5 if scoped else 1.0), (exact, 1.0), (passages, 1.3)]
-    if recency is not None:
-        lists.append((ranked(candidates.join(recency, "doc_id"), "doc_id", by="created_at"), 2.5 if scoped else 0.25))
-    final = rrf(lists).withColumn("score", F.round("score", 12))
-    return top_k(final, limit, "doc_id")
-
-
 def mmr_order(relevance: np.ndarray, vectors: np.ndarray, trade: float = 0.72) -> list[int]:
     """Greedy order: each next has the best of relevance against its likeness to those before."""
     n = len(relevance)
@@ -259,7 +257,7 @@ def connections(vectors: DataFrame, anchors: DataFrame, *, least: float, gap: in
     """(a, b, similarity): of each anchor's k nearest those similar enough and ``gap`` apart in time (at), once a pair."""
     near = vector_search(vectors, anchors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), k, exclude_self=True)
     at = vectors.select("vec_id", "at")
-    timed = near.join(at, "vec_id").join(small(anchors.select(F.col("vec_id").alias("query_id"), F.col("at").alias("other"))), "query_id")
+    timed = near.join(at, "vec_id").join(anchors.select(F.col("vec_id").alias("query_id"), F.col("at").alias("other")), "query_id")
     kept = timed.where((F.round("score", 9) >= least) & (F.abs(F.col("at") - F.col("other")) >= gap))
     return kept.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.max("score").alias("similarity"))
 

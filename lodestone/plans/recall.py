@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import time as D
-from ..operators import retrieval, tables
+from ..operators import retrieval, search, tables
+from ..sources import store
 
 
 class Embedder(Protocol):
@@ -32,11 +33,11 @@ class HashedEmbedder:
         return retrieval.features(docs)
 
 
-def recall(docs: DataFrame, query: str, now: Column, *, limit: int = 12) -> DataFrame:
+def recall(docs: DataFrame, query: str, now: Column, *, limit: int = 12, index: search.Index | None = None) -> DataFrame:
     """(doc_id, score, rank) of docs (doc_id, text, created_at) for one question.
 
-    An empty question gives the newest documents; a question that names a time searches that window, and
-    an empty window gives nothing.
+    An empty question gives the newest documents. One that names a time is answered from that window, by the statistics of
+    all documents; an empty window gives nothing. ``index``: of docs; without it one is written for this call.
     """
     spark = docs.sparkSession
     asked = spark.createDataFrame([(1, query or "")], "query_id long, query string")
@@ -46,14 +47,18 @@ def recall(docs: DataFrame, query: str, now: Column, *, limit: int = 12) -> Data
     recent = newest.select("doc_id", F.lit(0.0).alias("score"), F.row_number().over(retrieval.Window.orderBy(F.col("created_at").desc(), F.col("doc_id").desc())).alias("rank"))
     if not (query or "").strip():
         return recent
-    found = retrieval.hybrid_search(inside, asked, limit=limit, recency=inside.select("doc_id", "created_at"), scoped=scope is not None).select("doc_id", "score", "rank")
+    if index is None:
+        path = store.scratch(spark, "index")
+        search.write_index(docs, path)
+        index = search.Index(spark, path)
+    found = search.hybrid(index, docs, asked, limit=limit, recency=docs.select("doc_id", "created_at"), scoped=scope is not None, allowed=None if scope is None else inside.select("doc_id"))
+    found = store.written(found.select("doc_id", "score", "rank"), "found")
     return recent if found.isEmpty() else found
 
 
 def evidence(docs: DataFrame, hits: DataFrame, query: str) -> DataFrame:
     """(doc_id, i, start, passage, score): of each hit the passage that is most like the question."""
-    hashed = retrieval.features(docs.sparkSession.createDataFrame([(1, query)], "doc_id long, text string"))
-    return retrieval.passage_scores(docs, hits.select(F.lit(1).cast("long").alias("query_id"), "doc_id"), hashed).drop("query_id")
+    return search.passages(docs, hits, query)
 
 
 def context_block(rows: list[dict], budget: int = 9000) -> str:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import time as D
 from .functions import vector as V
-from .operators import activity, retrieval, tables
+from .operators import activity, retrieval, search, tables
+from .sources import store
 from .streaming import streams
 
 NOW = "2024-01-31 00:00:00"
@@ -151,9 +152,8 @@ def question_like(t):
     return t("conversations").select("conv_id", "turn", T.question_like(F.col("text"), F.lit("")).alias("asks"))
 
 
-@query(f"SELECT conv_id, turn, length(trim(text)) < 30 OR regexp_matches(lower(trim(text)), '{T.FOLLOW_START}') OR regexp_matches(lower(trim(text)), '{T.FOLLOW_REFERENCE}') AS follow_up FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')")
+@query(f"SELECT conv_id, turn, length(trim(text)) < 30 OR regexp_matches(lower(trim(text)), '{T.FOLLOW_START}') OR regexp_matches(lower(trim(text)), '{T.FOLLOW_REFERENCE}') AS follow_up FROM conversations")
 def follow_up(t):
-    # all turns; the SQL has only those in ASCII, so its rows are a part of these
     return t("conversations").select("conv_id", "turn", T.follow_up(F.col("text")).alias("follow_up"))
 
 
@@ -256,15 +256,22 @@ def doc_len(t):
 
 
 def _questions(t) -> DataFrame:
-    """The stated query set: benchmark items with ids divisible by 50, whole. The SQL below asks the first 60
-    characters of the items under 10, which are other questions."""
+    """The stated query set: benchmark items with ids divisible by 50, whole."""
     return t("benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(docs: DataFrame, vectors: bool = True) -> search.Index:
+    spark = docs.sparkSession
+    path, tasks = store.scratch(spark, "index"), spark.sparkContext.defaultParallelism
+    # a table of fewer files than tasks would be hashed by as few of them
+    search.write_index(docs.repartition(tasks) if len(docs.inputFiles()) < tasks else docs, path, vectors=vectors)
+    return search.Index(spark, path)
+
+
 def _bm25_sql(k: int, allowed: str = "TRUE") -> str:
-    return f"""WITH post AS (SELECT term, doc_id, least(count(*), 65535) AS tf FROM (SELECT doc_id, unnest({ctok('text')}) AS term FROM documents) GROUP BY 1, 2),
- len AS (SELECT doc_id, len({ctok('text')}) AS dl FROM documents), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
- q AS (SELECT DISTINCT item_id AS query_id, unnest({ctok("substr(text, 1, 60)")}) AS term FROM benchmark WHERE item_id < 10),
+    return f"""WITH d AS (SELECT doc_id, {ctok('text')} AS t FROM documents), post AS (SELECT term, doc_id, least(count(*), 65535) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM d) GROUP BY 1, 2),
+ len AS (SELECT doc_id, len(t) AS dl FROM d), corpus AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM len), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest({ctok("text")}) AS term FROM benchmark WHERE item_id % 50 = 0),
  s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM q JOIN post USING (term) JOIN df USING (term) JOIN len USING (doc_id), corpus WHERE {allowed} GROUP BY 1, 2),
  r AS (SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
  SELECT query_id, doc_id, score::DOUBLE AS score FROM r WHERE rank <= {k}"""
@@ -272,13 +279,13 @@ def _bm25_sql(k: int, allowed: str = "TRUE") -> str:
 
 @query(_bm25_sql(60))
 def bm25(t):
-    return retrieval.bm25(t("documents"), _questions(t), 60).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(_index(t("documents"), False), _questions(t), 60).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(60, "doc_id % 2 = 0"))
 def filtered_search(t):
     docs = t("documents")
-    return retrieval.bm25(docs, _questions(t), 60, docs.where("doc_id % 2 = 0")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(_index(docs, False), _questions(t), 60, docs.where("doc_id % 2 = 0")).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _asked(t, every: int = 50) -> DataFrame:
@@ -357,15 +364,35 @@ def hash_embed(t):
     return retrieval.features(t("benchmark"), doc_id="item_id").select(F.col("doc_id").alias("item_id"), "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query()
+SEMANTIC = f"""WITH src AS (SELECT doc_id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE item_id % 50 = 0), {FEATURES},
+ unit AS (SELECT doc_id, bucket, weight / len AS v FROM b JOIN n USING (doc_id) WHERE len > 0), step AS (SELECT doc_id, max(abs(v)) / 127 AS s FROM unit GROUP BY 1),
+ z AS (SELECT doc_id, bucket, least(greatest(floor(v / s + 0.5), -127), 127) AS q, s FROM unit JOIN step USING (doc_id)),
+ dots AS (SELECT -1 - a.doc_id AS query_id, d.doc_id, sum(a.q * d.q) * any_value(a.s) * any_value(d.s) AS score FROM z a JOIN z d USING (bucket) WHERE a.doc_id < 0 AND d.doc_id >= 0 GROUP BY 1, 2)
+ SELECT query_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM dots) WHERE rank <= 20"""
+
+
+@query(SEMANTIC)
 def semantic_topk(t):
-    texts = _questions(t).select(F.col("query_id").alias("doc_id"), F.col("query").alias("text"))
-    return retrieval.sparse_search(retrieval.features(t("documents")), retrieval.features(texts), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return search.semantic_search(_index(t("documents")), _questions(t), 20).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def hybrid_search(t):
-    return retrieval.hybrid_search(t("documents"), _questions(t)).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
+    docs = t("documents")
+    return search.hybrid(_index(docs), docs, _questions(t), diversify=False).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query()
+def diverse_search(t):
+    docs = t("documents")
+    return search.hybrid(_index(docs), docs, _questions(t)).select("query_id", "doc_id", "rank", F.round("score", 9).alias("score"), "start", "passage")
+
+
+@query()
+def ambient_related(t):
+    titles = t("pages").where("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), T.html_title(F.col("html")).alias("query"), "url")
+    docs = t("pages").select(F.col("page_id").alias("doc_id"), "url", T.html_to_text(F.col("html")).alias("text"))
+    return search.ambient(_index(docs), docs, titles).select("query_id", "doc_id", "rank")
 
 
 @query("SELECT label AS query_id, vec_id AS doc_id, i, score FROM (SELECT label, vec_id, (i - 1)::INT AS i, round(embedding[i]::DOUBLE, 9) AS score, row_number() OVER (PARTITION BY label, vec_id ORDER BY embedding[i] DESC, i) AS r FROM embeddings, range(1, 65) x(i)) WHERE r = 1")
@@ -611,7 +638,7 @@ def commitments(t):
     return streams.commitments(m)
 
 
-@query(f"SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM ({SESSIONS.replace('<= 2700000000', '<= 2700000000')}) GROUP BY user_id, session")
+@query(f"SELECT user_id, min(ts) AS started_at, max(ts) AS ended_at, count(*) AS n FROM ({SESSIONS}) GROUP BY user_id, session")
 def stream_sessions(t):
     return streams.stream_sessions(t("events")).select("user_id", "started_at", "ended_at", "n")
 

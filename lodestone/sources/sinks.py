@@ -1,4 +1,4 @@
-"""Sinks: the index tables, exports."""
+"""Sinks: the search index, passages, exports."""
 
 from __future__ import annotations
 
@@ -6,16 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import retrieval
+from ..operators import search
 
-ANALYZER_VERSION = 2
-
-
-def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Postings ordered by term for pruned reads, and document lengths, stamped with the analyzer's version."""
-    index = retrieval.postings(docs).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    index.repartition(buckets, "bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    retrieval.doc_lengths(docs).withColumn("analyzer", F.lit(ANALYZER_VERSION)).write.mode("overwrite").parquet(f"{path}/doc_stats")
+def write_index(docs: DataFrame, path: str, files: int | None = None) -> None:
+    """The search index of docs; ``files``: how many the postings are dealt out to."""
+    search.write_index(docs, path, files=files)
 
 
 def write_chunks(docs: DataFrame, path: str) -> None:
