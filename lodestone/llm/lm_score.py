@@ -117,31 +117,43 @@ def _requests(dealt: DataFrame, order: int, shards: int) -> DataFrame:
     return dealt.groupBy("chunk__").applyInArrow(run, "kind int, shard int, chunk int, part int, grams binary, counts binary")
 
 
-def _answers(requests: DataFrame) -> DataFrame:
+def _answers(requests: DataFrame, shards: int) -> DataFrame:
     """(kind, shard, chunk, part, n, total, kept); chunk -1 has the shard's sums of distinct and all tokens."""
     names = ["kind", "shard", "chunk", "part", "distinct", "tokens", "kept_tokens", "total", "kept"]
 
     def run(group: pa.Table) -> pa.Table:
         kind, shard = group.column("kind")[0].as_py(), group.column("shard")[0].as_py()
-        asked = [(c, p, np.cumsum(unpack(g, "<u8"), dtype=np.uint64), unpack(n, "<u4").astype(np.int64)) for c, p, g, n in zip(*(group.column(x).to_pylist() for x in ("chunk", "part", "grams", "counts")), strict=True)]
-        keys = np.concatenate([g for _, _, g, _ in asked])
-        order = np.argsort(keys)
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.cumsum(new) - 1
-        part = np.repeat([p for _, p, _, _ in asked], [len(g) for _, _, g, _ in asked])
-        n = np.concatenate([n for *_, n in asked])
-        total = np.bincount(which, n * (part != SCORED)).astype(np.uint64)
-        kept = np.bincount(which, n * (part == KEPT)).astype(np.uint64)
+        part = np.array(group.column("part").to_pylist(), np.int32)
+        keys = [np.cumsum(unpack(g.as_py(), "<u8"), dtype=np.uint64) for g in group.column("grams")]
+        size = np.array([len(k) for k in keys])
+        keys = np.concatenate(keys)
+        order = np.argsort(keys).astype(np.uint32)
+        keys = keys[order]
+        new = np.empty(len(keys), bool)
+        new[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        del keys
+        begin = np.flatnonzero(new)
+        which = np.empty(len(new), np.uint32)
+        which[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        del new
+        n = np.concatenate([unpack(n.as_py(), "<u4") for n in group.column("counts")])
+
+        def sums(parts: np.ndarray) -> np.ndarray:
+            """The counts of each n-gram in the documents of some parts."""
+            return np.add.reduceat((n * np.repeat(parts, size))[order].astype(np.uint64), begin)
+
+        total, kept = sums(part != SCORED), sums(part == KEPT)
+        del order, n
         rows, at = [(kind, shard, -1, -1, int((total > 0).sum()), int(total.sum()), int(kept.sum()), b"", b"")], 0
-        for c, p, g, _ in asked:
-            own = which[at : at + len(g)]
-            at += len(g)
+        for c, p, m in zip(group.column("chunk").to_pylist(), part.tolist(), size.tolist(), strict=True):
+            own = which[at : at + m]
+            at += m
             rows.append((kind, shard, c, p, 0, 0, 0, pack(total[own]), pack(kept[own]) if p == HELD else b""))
         kinds = (pa.int32(),) * 4 + (pa.int64(),) * 3 + (pa.binary(),) * 2
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return requests.groupBy("kind", "shard").applyInArrow(run, "kind int, shard int, chunk int, part int, distinct long, tokens long, kept_tokens long, total binary, kept binary")
+    return requests.repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(run, "kind int, shard int, chunk int, part int, distinct long, tokens long, kept_tokens long, total binary, kept binary")
 
 
 def _counts(tokens: Tokens, answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
@@ -232,19 +244,22 @@ def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, or
     total = sum(size for _, size in sizes.values())
     # a chunk has documents of one part; each part has chunks by its size
     chunks = {p: max(1, -(-size // CHUNK_BYTES), partitions * size // max(1, total)) for p, (_, size) in sizes.items()}
-    shards = 1 << max(0, (max(partitions, -(-total // (2 * CHUNK_BYTES)))).bit_length() - 1)
+    # a power of two; a shard has the n-grams of a chunk's size of text, or up to twice as many
+    shards = 1 << max(0, (max(partitions, -(-total // CHUNK_BYTES))).bit_length() - 1)
     first, number = 0, F.lit(0)
     for p, n in sorted(chunks.items()):
         number = F.when(F.col("part__") == p, first + F.pmod(F.col("key__"), F.lit(n)).cast("int")).otherwise(number)
         first += n
     dealt = packed_docs(marked, "text__", (*keep, "held_out", "part__")).withColumn("chunk__", number.cast("int")).drop("key__")
-    answers = written(_answers(_requests(dealt.select("chunk__", "part__", "z__"), order, shards)), "answers")
+    # as many tasks as chunks, however large the input: the session's number of partitions does not grow with it
+    by_chunk = lambda df, key="chunk__": df.repartition(max(1, sum(chunks.values())), key)
+    answers = written(_answers(_requests(by_chunk(dealt.select("chunk__", "part__", "z__")), order, shards), shards), "answers")
     sums = answers.where("chunk = -1 and kind = 1").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n"), F.sum("kept_tokens").alias("k")).first()
     answers = answers.where("chunk >= 0")
     count = lambda *parts: sum(sizes.get(p, (0, 0))[0] for p in parts)
     model = Model(order, count(KEPT, HELD), sums["n"] or 0, sums["v"] or 0)
     kept = Model(order, count(KEPT), sums["k"] or 0, model.distinct)
-    held = _bins(dealt.where(F.col("part__") == HELD).select("chunk__", "z__"), answers.where(F.col("part") == HELD).select("kind", "shard", "chunk", "kept"), kept).toPandas()
+    held = _bins(by_chunk(dealt.where(F.col("part__") == HELD).select("chunk__", "z__")), by_chunk(answers.where(F.col("part") == HELD).select("kind", "shard", "chunk", "kept"), "chunk"), kept).toPandas()
     bins, n = held["bin"].to_numpy(np.int64), held["n"].to_numpy(np.float64)
     estimates = []
     for _ in range(order):
@@ -269,4 +284,4 @@ def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, or
         return pa.table([chunk.column(c) for c in (*keep, "held_out")] + [pa.array(c) for c in columns], names=schema.names)
 
     answered = answers.select("kind", "shard", "chunk", "total")
-    return dealt.select("chunk__", *keep, "held_out", "z__").groupBy("chunk__").cogroup(answered.groupBy("chunk")).applyInArrow(run, schema)
+    return by_chunk(dealt.select("chunk__", *keep, "held_out", "z__")).groupBy("chunk__").cogroup(by_chunk(answered, "chunk").groupBy("chunk")).applyInArrow(run, schema)
