@@ -194,3 +194,68 @@ def test_reminder_table(spark):
     assert [r.id for r in streams.due_reminders(t, now).collect()] == [1]
     assert sorted(r.id for r in streams.prune_reminders(t, now).collect()) == [1, 2]
     assert streams.snooze(t, t.where("id = 1").select("id"), now).where("id = 1").first().at == datetime(2026, 3, 4, 10, 10)
+
+
+@pytest.mark.parametrize(
+    ("text", "at"),
+    [
+        ("please submit by 0000-01-01", None),
+        ("submit on 9999-99-01", None),
+        ("due 9999-12-31", datetime(9999, 12, 31, 9)),
+        ("5 of march or april 3", datetime(2026, 4, 3, 9)),
+        ("13/40 is no date, but friday is", datetime(2026, 3, 6, 9)),
+        ("2/31", datetime(2027, 3, 3, 9)),
+        ("sept. 5th at midnight", datetime(2026, 9, 5, 0)),
+        ("due 12/5/26 3.30 p.m.", datetime(2026, 12, 5, 15, 30)),
+        ("in an hour", datetime(2026, 3, 4, 11)),
+    ],
+)
+def test_dates_of_the_calendar_and_others(spark, text, at):
+    found = parse_when(text, WEDNESDAY)
+    assert (found and found["at"]) == at
+    C.detect(f"please submit {text}", WEDNESDAY)
+
+
+def test_captures_and_candidates_of_a_table(spark):
+    day = lambda h, m=0: datetime(2026, 3, 4, h, m)
+    visits = spark.createDataFrame([("a", day(1)), ("a", day(1, 5)), ("a", day(6)), ("b", day(1)), ("b", day(1))], "url string, at timestamp")
+    assert sorted((r.url, r.at) for r in streams.captures(visits).collect()) == [("a", day(1)), ("a", day(6)), ("b", day(1))]
+    said = spark.createDataFrame([("hello there my friend", day(1)), ("hello there my friend", day(1, 30)), ("hello there my friend", day(9)), ("short", day(1))], "text string, at timestamp")
+    assert [r.at for r in streams.message_candidates(said).orderBy("at").collect()] == [day(1), day(9)]
+
+
+def test_impossible_dates_do_not_stop_a_job(spark):
+    said = spark.createDataFrame([("please submit by 0000-01-01", WEDNESDAY), ("please submit by 9999-99-01", WEDNESDAY), ("please submit by friday at 5pm", WEDNESDAY)], "text string, at timestamp")
+    assert [r.due for r in streams.commitments(said).collect()] == [datetime(2026, 3, 6, 17)]
+
+
+def test_engagement_by_visits(spark):
+    at = lambda h: datetime(2026, 3, 4, h)
+    rows = [("a", at(1), 3000, 0.2), ("a", at(1), 2000, 0.9), ("a", at(5), 100, 1.0), ("b", at(1), 50, 0.1)]
+    got = streams.engagement(spark.createDataFrame(rows, "url string, at timestamp, active_ms long, scroll_pct double")).collect()
+    assert [(r.url, r.dwell_ms, r.scroll_pct) for r in got] == [("a", 5000, 0.9)]
+
+
+def test_reminder_timers(spark, tmp_path):
+    at = lambda h, m=0: datetime(2026, 3, 4, h, m)
+    schema = "id long, action string, what string, due timestamp, seen timestamp"
+    batches = [
+        [(1, "set", "essay", at(12), at(10)), (2, "set", "call", at(12), at(10)), (3, "set", "late", at(9), at(10))],
+        [(2, "cancel", None, None, at(11)), (1, "snooze", None, None, at(11, 55))],
+        [(9, "set", "far", at(23), at(12, 30))],
+        [(8, "set", "far", at(23), at(12, 40))],
+    ]
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source = str(tmp_path / "requests")
+        found = streams.fired(spark.readStream.schema(schema).parquet(source + "*"))
+        q = None
+        for k, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}{k}")
+            q = q or found.writeStream.format("memory").queryName("fired_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+            q.processAllAvailable()
+        q.stop()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((r.id, r.what, r["at"]) for r in spark.table("fired_out").collect()) == [(1, "essay", at(12, 5)), (3, "late", at(9))]
