@@ -29,6 +29,8 @@ from .common import map_arrow, steps
 
 #: Pre-tokens that a generation of a worker's memory holds at most.
 MEMORY = 150_000
+#: Bytes of pre-tokens and ids (beside a bounded number of objects) that a generation holds, and one step beyond it.
+MEMORY_BYTES = 32 << 20
 #: Texts with more characters are cut into pre-tokens piece by piece.
 LONG = 4 << 20
 _POS = (1 << 40) - 1
@@ -79,7 +81,7 @@ class ByteBpe:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.slow, self.plain = regex.compile(pattern), _plain_pattern(pattern)
-        self.new, self.old = {}, {}
+        self.new, self.old, self.size = {}, {}, 0
         self.byte_rank = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {ranks[x] << 32 | ranks[y]: r for token, r in ranks.items() for cut in range(1, len(token)) if (x := token[:cut]) in ranks and (y := token[cut:]) in ranks}
         self.pair_keys = np.array(sorted(pairs), np.int64)
@@ -206,8 +208,8 @@ class ByteBpe:
 
     def learn(self, pieces: set[str]) -> None:
         """Bring pre-tokens into memory."""
-        if len(self.new) > MEMORY:
-            self.old, self.new = self.new, {}
+        if len(self.new) > MEMORY or self.size > MEMORY_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
         new, old = self.new, self.old
         unknown = []
         for piece in pieces:
@@ -216,7 +218,9 @@ class ByteBpe:
                     unknown.append(piece)
                 else:
                     new[piece] = packed
-        new.update(zip(unknown, self.merge_many([x.encode() for x in unknown]), strict=True))
+        merged = self.merge_many([x.encode() for x in unknown])
+        new.update(zip(unknown, merged, strict=True))
+        self.size += sum(map(len, unknown)) + sum(map(len, merged))
 
     def packed(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers."""
@@ -227,8 +231,10 @@ class ByteBpe:
         """encode_packed of each text, with the unknown pre-tokens of all of them merged together."""
         found = [None if len(x) > LONG else self.matcher(x).findall(x) for x in texts]
         self.learn(set().union(*(x for x in found if x)))
-        for text, pieces in zip(texts, found, strict=True):
-            yield self.encode_packed(text) if pieces is None else iter((b"".join(map(self.new.__getitem__, pieces)),))
+        # before a long text, which may have the memory forget them
+        short = [None if pieces is None else b"".join(map(self.new.__getitem__, pieces)) for pieces in found]
+        for text, packed in zip(texts, short, strict=True):
+            yield self.encode_packed(text) if packed is None else iter((packed,))
 
     def matcher(self, text: str) -> re.Pattern:
         return self.slow if self.plain is None or _BEYOND.search(text) else self.plain

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch, written  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; bounds a worker's memory.
 STEP_BYTES = 2 << 20
 #: White space that separates words: \x20 and \x09-\x0D.
@@ -37,43 +37,9 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in cols])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base is None:
-        import tempfile
-
-        base = tempfile.gettempdir() + "/lodestone-shared"
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        try:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the JVM may be gone at exit; the folder is a temporary one
-            pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow in batches of few bytes: rows may be long, and each task's worker holds a batch."""
+    """mapInArrow in batches of few bytes: rows may be long, and each task's worker holds a batch. The session's setting of
+    that size stays changed, as a plan is read when it runs."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(STEP_BYTES))
     return df.mapInArrow(run, schema)
 
@@ -161,16 +127,22 @@ def per_document(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """keep, key__ (of the row) and z__, the text's bytes, compressed for the shuffle."""
-    source = docs.select(*keep, F.xxhash64(*keep, F.col(text)).alias("key__"), F.col(text).alias("text__"))
+def row_keys(text: str, *known_by: str) -> tuple[Column, Column]:
+    """96 bits that tell rows apart by their text and the columns they are known by; repeated rows share them."""
+    columns = [F.col(c) for c in known_by]
+    return F.xxhash64(*columns, F.col(text)).alias("key__"), F.hash(F.col(text), *columns).alias("check__")
+
+
+def packed_docs(docs: DataFrame, text: str, keep: tuple[str, ...], known_by: tuple[str, ...] | None = None) -> DataFrame:
+    """keep, key__ and check__ (of the row) and z__, the text's bytes, compressed for the shuffle."""
+    source = docs.select(*keep, *row_keys(text, *(keep if known_by is None else known_by)), F.col(text).alias("text__"))
     schema = source.drop("text__").schema.add("z__", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
         for batch in steps(batches, "text__"):
             z = [None if x is None else pack.compress(x.encode()) for x in batch.column("text__").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 1)] + [pa.array(z, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in range(len(keep) + 2)] + [pa.array(z, pa.binary())], names=schema.names)
 
     return map_arrow(source, run, schema)
 

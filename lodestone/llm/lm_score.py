@@ -250,7 +250,7 @@ def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, or
     for p, n in sorted(chunks.items()):
         number = F.when(F.col("part__") == p, first + F.pmod(F.col("key__"), F.lit(n)).cast("int")).otherwise(number)
         first += n
-    dealt = packed_docs(marked, "text__", (*keep, "held_out", "part__")).withColumn("chunk__", number.cast("int")).drop("key__")
+    dealt = packed_docs(marked, "text__", (*keep, "held_out", "part__")).withColumn("chunk__", number.cast("int")).drop("key__", "check__")
     # as many tasks as chunks, however large the input: the session's number of partitions does not grow with it
     by_chunk = lambda df, key="chunk__": df.repartition(max(1, sum(chunks.values())), key)
     answers = written(_answers(_requests(by_chunk(dealt.select("chunk__", "part__", "z__")), order, shards), shards), "answers")

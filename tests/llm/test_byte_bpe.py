@@ -57,3 +57,16 @@ def test_query_over_odd_rows(spark, theirs):
 
 def test_no_rows(spark):
     assert byte_bpe.bpe_encode(docs_frame(spark, []), PATH, P.PATTERN).count() == 0
+
+
+def test_a_long_text_among_others(theirs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "LONG", 40)
+    r = random.Random(4)
+    texts = ["some words here", " ".join(f"w{r.randrange(10**6)}" for _ in range(400)), "and other words there", "x" * 39]
+    for name in ("MEMORY", "MEMORY_BYTES"):
+        with monkeypatch.context() as m:
+            m.setattr(byte_bpe, name, 3)
+            own = byte_bpe.ByteBpe(byte_bpe.read_ranks(PATH), P.PATTERN)
+            for _ in range(2):
+                got = [b"".join(parts) for parts in own.packed_texts(texts)]
+                assert [np.frombuffer(x, "<u4").tolist() for x in got] == [theirs.encode_ordinary(t) for t in texts]

@@ -3,8 +3,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lodestone.llm import substring_dedup as S
+from lodestone.llm.common import packed_docs
 from lodestone.llm.fm_index import FmIndex, WaveletMatrix
 from lodestone.llm.queries import op3_substring_dedup
 
@@ -60,6 +62,45 @@ def test_odd_rows(spark):
     assert [r.n_removed for r in S.substring_dedup(twice).collect()] == [45, 45]
 
 
+def test_columns_of_any_name_and_type(spark):
+    passage = " ".join(map(str, range(60)))
+    rows = [(i, f"w{i} {passage} v{i}", 7, {"a": i}, "z", None, 5) for i in range(3)] + [(None, "alone", 1, {}, "y", [1], 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key__ int, all_runs map<string,int>, z__ string, `check__` array<int>, `text__` int")
+    docs = docs.withColumns({c: F.lit(1) for c in ("key", "row__", "id__", "a b", "check", "n_chars")})
+    out = S.remove_repeats(docs, window=50)
+    assert out.columns == docs.columns and out.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in out.collect()}
+    assert [got[i].text for i in range(3)] == [f"w{i} v{i}" for i in range(3)] and got[None].text == "alone"
+    assert got[2].all_runs == {"a": 2} and got[2].key__ == 7 and got[2].n_chars == 5
+
+
+def test_a_window_that_is_common_everywhere(spark, monkeypatch):
+    r = random.Random(9)
+    common = " ".join(f"c{k}" for k in range(25))
+    texts = [f"{common} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(30)) for _ in range(300)]
+    monkeypatch.setattr(S, "HOT", 5)
+    monkeypatch.setattr(S, "SINGLES", 2)
+    check(S.substring_dedup(docs_frame(spark, texts), window=20).collect(), texts, 20)
+
+
+def test_equal_hashes_of_different_words(spark, monkeypatch):
+    """With all segments' hashes equal, words and the second hash tell them apart."""
+    r = random.Random(3)
+    passages = [" ".join(f"p{k}x{j}" for j in range(25)) for k in range(5)]
+    texts = [f"{passages[k % 5]} " + " ".join(f"w{r.randrange(10**6)}" for _ in range(25)) for k in range(20)]
+    docs = docs_frame(spark, texts)
+    packed = packed_docs(docs, "text", ("doc_id",))
+    anchors = S._anchors(docs, "text", ("doc_id",), 20).groupBy("key", "check").agg(F.collect_set("anchor").alias("anchors"), F.array().cast("array<long>").alias("hot"))
+    met = packed.join(anchors, S._own(packed)).drop("key", "check")
+    segments = S._segments(met, 20).withColumn("segment", F.lit(1).cast("long")).withColumn("route", F.lit(1).cast("long")).coalesce(1)
+    reports = S._reports(segments.select("route", "segment", "mark", "words", "n"), 20)
+    runs = S._spread(segments.join(reports, ["segment", "mark"])).groupBy("key", "check").agg(F.collect_set("runs").alias("all_runs")).collect()
+    assert len(runs) == 20
+    for row in runs:
+        covered = {w for x in row.all_runs for a, b in np.frombuffer(x, "<i8").reshape(-1, 2).tolist() for w in range(a, b)}
+        assert covered == set(range(25))
+
+
 def test_wavelet_ranks():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 37, 1000)
