@@ -6,16 +6,18 @@ occurs, in buckets of powers of two; expectation-maximisation finds them on held
 training documents are parted, the n-grams of one part are predicted with the counts of the other.
 The scores then use the counts of both.
 
-Documents are dealt into chunks by a hash. A chunk sends its distinct n-grams, sorted and packed, to
-shards by leading bits of their hashes; a shard adds up the counts and answers each chunk in the order
-of its n-grams. So an n-gram is shuffled once a chunk, however often it occurs, no task holds more
-than a chunk or a shard, and the number of both grows with the input. The answers are written once;
-weights and scores join them with the chunks. The sums for the weights are kept by bins of half a power
-of two of each estimate, so what reaches the driver is bounded by the bins, not by the documents.
+Each task cuts its documents into chunks, which are written once. A chunk sends its distinct n-grams,
+sorted and packed, to shards by leading bits of their hashes; a shard adds up the counts and answers
+each chunk in the order of its n-grams. So an n-gram is shuffled once a chunk, however often it occurs,
+no task holds more than a chunk or a shard, and the number of both grows with the input. The answers
+are written once; weights and scores join them with the chunks. The sums for the weights are kept by
+bins of half a power of two of each estimate, so what reaches the driver is bounded by the bins, not
+by the documents.
 
 A-Z count as a-z; each text ends with one end token. N-grams are known by 64-bit hashes. A null or empty
-text is its end alone. Without training documents all counts are 0. Repeated rows are each counted and
-scored.
+text is its end alone. Without training documents all counts are 0. Repeated rows, and rows of one id,
+are each counted and scored. A very long text is a chunk of its own. Empty input gives empty output.
+Ties do not arise. Other columns than ``keep`` and the text are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import hash_words, mix, packed_docs, text_bytes, word_spans, written
+from .common import hash_words, map_arrow, mix, steps, text_bytes, word_spans, written
 
-#: Bytes of text of a chunk, on average.
+#: Bytes of text from which a chunk is full.
 CHUNK_BYTES = 8 << 20
 #: Parts of the documents: scored only, training (kept), training (held out for the weights).
 SCORED, KEPT, HELD = 0, 1, 2
@@ -62,11 +66,10 @@ class Tokens:
     first: np.ndarray  # whether a token is its text's first
 
     @classmethod
-    def of(cls, texts: list[bytes], order: int) -> Tokens:
-        data, offsets = text_bytes(pa.array(texts, pa.large_binary()))
+    def of(cls, data: np.ndarray, offsets: np.ndarray, order: int) -> Tokens:
         data = _FOLD[data]
         starts, ends, words = word_spans(data, offsets)
-        n = len(texts)
+        n = len(offsets) - 1
         bounds = words + np.arange(n + 1)
         token = np.full(int(bounds[-1]), _END, np.uint64)
         own = np.ones(len(token), bool)
@@ -91,19 +94,64 @@ def _sorted_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.diff(np.append(first, len(k)))
 
 
-def _texts(chunk: pa.Table) -> list[bytes]:
-    z = zstandard.ZstdDecompressor()
-    return [z.decompress(x.as_py()) if x.is_valid else b"" for x in chunk.column("z__")]
-
-
-def _requests(dealt: DataFrame, order: int, shards: int) -> DataFrame:
+def _chunks(marked: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(chunk, part, rows, sizes, z): the documents of one part and task, ``CHUNK_BYTES`` of text at a time, compressed together."""
+    rows = marked.select(*keep, "held_out").schema
+    schema = StructType([StructField("chunk", LongType()), StructField("part", IntegerType()), StructField("rows", ArrayType(rows)), StructField("sizes", ArrayType(LongType())), StructField("z", BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        pack = zstandard.ZstdCompressor(level=3)
+        held: dict[int, list[tuple[pa.RecordBatch, np.ndarray, bytes]]] = {}
+
+        def chunk(part: int) -> pa.RecordBatch:
+            parts = held.pop(part)
+            table = pa.Table.from_batches([b for b, _, _ in parts]).combine_chunks()
+            columns = [table.column(c).chunk(0) if table.num_rows else pa.array([], table.column(c).type) for c in range(len(keep) + 1)]
+            own = pa.StructArray.from_arrays(columns, names=[*keep, "held_out"])
+            end = pa.array([0, len(own)], pa.int32())
+            sizes = pa.array(np.concatenate([x for _, x, _ in parts]))
+            z = pack.compress(b"".join(x for _, _, x in parts))
+            return pa.RecordBatch.from_arrays([pa.array([first + made]), pa.array([part], pa.int32()), pa.ListArray.from_arrays(end, own), pa.ListArray.from_arrays(end, sizes), pa.array([z], pa.binary())], names=schema.names)
+
+        filled: dict[int, int] = {}
+        for batch in steps(batches, "text__"):
+            which = batch.column("part__").to_numpy(zero_copy_only=False)
+            for part in np.unique(which).tolist():
+                some = batch.filter(pa.array(which == part))
+                data, offsets = text_bytes(some.column("text__"))
+                held.setdefault(part, []).append((some, np.diff(offsets), data[: offsets[-1]].tobytes()))
+                filled[part] = filled.get(part, 0) + int(offsets[-1])
+                if filled[part] >= CHUNK_BYTES:
+                    yield chunk(part)
+                    made, filled[part] = made + 1, 0
+        for part in sorted(held):
+            yield chunk(part)
+            made += 1
+
+    return map_arrow(marked.select(*keep, "held_out", "part__", "text__"), run, schema)
+
+
+def _texts(chunk: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bounds of the texts of a chunk's row."""
+    raw = np.frombuffer(zstandard.decompress(chunk.column("z")[0].as_py()), np.uint8)
+    sizes = np.array(chunk.column("sizes")[0].as_py(), np.int64)
+    return np.concatenate([raw, np.full(8, 32, np.uint8)]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _requests(chunks: DataFrame, order: int, shards: int) -> DataFrame:
     """(kind, shard, chunk, part, grams, counts): a chunk's distinct n-grams and how often it has them."""
     bits = shards.bit_length() - 1
     names = ["kind", "shard", "chunk", "part", "grams", "counts"]
 
-    def run(chunk: pa.Table) -> pa.Table:
-        tokens = Tokens.of(_texts(chunk), order)
-        part, number = chunk.column("part__")[0].as_py(), chunk.column("chunk__")[0].as_py()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                yield asked(batch.slice(k, 1))
+
+    def asked(chunk: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = Tokens.of(*_texts(chunk), order)
+        part, number = chunk.column("part")[0].as_py(), chunk.column("chunk")[0].as_py()
         rows = []
         for kind, keys in enumerate(tokens.grams, 1):
             keys, n = _sorted_counts(keys)
@@ -111,10 +159,10 @@ def _requests(dealt: DataFrame, order: int, shards: int) -> DataFrame:
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 a, b = cut[s], cut[s + 1]
                 rows.append((kind, s, number, part, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(n[a:b].astype(np.uint32))))
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return dealt.groupBy("chunk__").applyInArrow(run, "kind int, shard int, chunk int, part int, grams binary, counts binary")
+    return map_arrow(chunks.select("chunk", "part", "sizes", "z"), run, "kind int, shard int, chunk long, part int, grams binary, counts binary")
 
 
 def _answers(requests: DataFrame, shards: int) -> DataFrame:
@@ -150,10 +198,10 @@ def _answers(requests: DataFrame, shards: int) -> DataFrame:
             own = which[at : at + m]
             at += m
             rows.append((kind, shard, c, p, 0, 0, 0, pack(total[own]), pack(kept[own]) if p == HELD else b""))
-        kinds = (pa.int32(),) * 4 + (pa.int64(),) * 3 + (pa.binary(),) * 2
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32()) + (pa.int64(),) * 3 + (pa.binary(),) * 2
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return requests.repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(run, "kind int, shard int, chunk int, part int, distinct long, tokens long, kept_tokens long, total binary, kept binary")
+    return requests.repartition(shards, "kind", "shard").groupBy("kind", "shard").applyInArrow(run, "kind int, shard int, chunk long, part int, distinct long, tokens long, kept_tokens long, total binary, kept binary")
 
 
 def _counts(tokens: Tokens, answers: pa.Table, column: str, order: int) -> list[np.ndarray]:
@@ -214,13 +262,13 @@ def expectation_maximisation(bucket: np.ndarray, p: np.ndarray, n: np.ndarray, r
     return w
 
 
-def _bins(dealt: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+def _bins(chunks: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
     """(bin, n): the held-out tokens by bucket and binned estimates."""
 
     def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         if not len(chunk):
             return pa.table([pa.array([], pa.int64())] * 2, names=["bin", "n"])
-        tokens = Tokens.of(_texts(chunk), model.order)
+        tokens = Tokens.of(*_texts(chunk), model.order)
         p, bucket = model.estimates(tokens, _counts(tokens, answered, "kept", model.order))
         key = bucket
         for x in p[:-1]:
@@ -228,7 +276,7 @@ def _bins(dealt: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
         key, n = np.unique(key, return_counts=True)
         return pa.table([pa.array(key), pa.array(n)], names=["bin", "n"])
 
-    return dealt.groupBy("chunk__").cogroup(answers.groupBy("chunk")).applyInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, order: int = 2, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -239,27 +287,21 @@ def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, or
     """
     spark = docs.sparkSession
     marked = docs.select(*keep, held_out.alias("held_out"), F.when(held_out, SCORED).when(held_for_weights, HELD).otherwise(KEPT).alias("part__"), F.col(text).alias("text__"))
-    sizes = {r["part__"]: (r["n"], r["size"]) for r in marked.groupBy("part__").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(F.octet_length("text__"), F.lit(0))).alias("size")).collect()}
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    total = sum(size for _, size in sizes.values())
-    # a chunk has documents of one part; each part has chunks by its size
-    chunks = {p: max(1, -(-size // CHUNK_BYTES), partitions * size // max(1, total)) for p, (_, size) in sizes.items()}
+    chunks = written(_chunks(marked, keep), "chunks")
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    sizes = {r["part"]: r for r in chunks.groupBy("part").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("sizes")).alias("n"), F.sum(size).alias("size")).collect()}
+    partitions, total = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["size"] for r in sizes.values())
     # a power of two; a shard has the n-grams of a chunk's size of text, or up to twice as many
     shards = 1 << max(0, (max(partitions, -(-total // CHUNK_BYTES))).bit_length() - 1)
-    first, number = 0, F.lit(0)
-    for p, n in sorted(chunks.items()):
-        number = F.when(F.col("part__") == p, first + F.pmod(F.col("key__"), F.lit(n)).cast("int")).otherwise(number)
-        first += n
-    dealt = packed_docs(marked, "text__", (*keep, "held_out", "part__")).withColumn("chunk__", number.cast("int")).drop("key__", "check__")
     # as many tasks as chunks, however large the input: the session's number of partitions does not grow with it
-    by_chunk = lambda df, key="chunk__": df.repartition(max(1, sum(chunks.values())), key)
-    answers = written(_answers(_requests(by_chunk(dealt.select("chunk__", "part__", "z__")), order, shards), shards), "answers")
+    by_chunk = lambda df: df.repartition(max(1, sum(r["chunks"] for r in sizes.values())), "chunk")
+    answers = written(_answers(_requests(chunks, order, shards), shards), "answers")
     sums = answers.where("chunk = -1 and kind = 1").agg(F.sum("distinct").alias("v"), F.sum("tokens").alias("n"), F.sum("kept_tokens").alias("k")).first()
     answers = answers.where("chunk >= 0")
-    count = lambda *parts: sum(sizes.get(p, (0, 0))[0] for p in parts)
+    count = lambda *parts: sum(sizes[p]["n"] for p in parts if p in sizes)
     model = Model(order, count(KEPT, HELD), sums["n"] or 0, sums["v"] or 0)
     kept = Model(order, count(KEPT), sums["k"] or 0, model.distinct)
-    held = _bins(by_chunk(dealt.where(F.col("part__") == HELD).select("chunk__", "z__")), by_chunk(answers.where(F.col("part") == HELD).select("kind", "shard", "chunk", "kept"), "chunk"), kept).toPandas()
+    held = _bins(by_chunk(chunks.where(F.col("part") == HELD).select("chunk", "sizes", "z")), by_chunk(answers.where(F.col("part") == HELD).select("kind", "shard", "chunk", "kept")), kept).toPandas()
     bins, n = held["bin"].to_numpy(np.int64), held["n"].to_numpy(np.float64)
     estimates = []
     for _ in range(order):
@@ -269,19 +311,20 @@ def lm_scores(docs: DataFrame, held_out: Column, held_for_weights: Column, *, or
     p = np.column_stack([*estimates[::-1], np.full(len(bins), 1 / (model.distinct + 1))])
     model.weights = expectation_maximisation(bins, p, n)
 
-    schema = dealt.select(*keep, "held_out").schema
+    schema = marked.select(*keep, "held_out").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         schema = schema.add(name, kind)
 
     def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
-        tokens = Tokens.of(_texts(chunk), order)
+        tokens = Tokens.of(*_texts(chunk), order)
         counts = _counts(tokens, answered, "total", order)
         p, bucket = model.estimates(tokens, counts)
         score = np.log10(np.einsum("mi,im->i", p, model.weights[bucket]))
         base = np.log10((counts[0] + 0.5) / (model.tokens + 0.5 * (model.distinct + 1)))
         at = tokens.bounds[:-1]
         columns = [np.diff(tokens.bounds), np.add.reduceat((counts[0] > 0).astype(np.int64), at), np.full(len(at), model.tokens), np.add.reduceat(base, at), np.add.reduceat(score, at)]
-        return pa.table([chunk.column(c) for c in (*keep, "held_out")] + [pa.array(c) for c in columns], names=schema.names)
+        own = chunk.column("rows").combine_chunks().flatten()
+        return pa.table([*own.flatten(), *map(pa.array, columns)], names=schema.names)
 
     answered = answers.select("kind", "shard", "chunk", "total")
-    return by_chunk(dealt.select("chunk__", *keep, "held_out", "z__")).groupBy("chunk__").cogroup(by_chunk(answered, "chunk").groupBy("chunk")).applyInArrow(run, schema)
+    return by_chunk(chunks.drop("part")).groupBy("chunk").cogroup(by_chunk(answered).groupBy("chunk")).applyInArrow(run, schema)
