@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -223,14 +224,36 @@ def _judge(m: PpmModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndar
     return np.array([*m.languages, UNDETERMINED], object)[best].tolist(), score, bits
 
 
-def keep_identified(docs: DataFrame, model: PpmModel, most_bits: float = 8.0) -> DataFrame:
-    """The rows of docs (text) in a learned language: those that are not ``und`` and whose best code is
-    no longer than ``most_bits`` a byte, which plain bytes would take. A filter, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _class(size: Column) -> Column:
+    """Of a text of so many bytes: powers of four, as the bits a byte of short texts vary more."""
+    return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) / 2).cast("int")
+
+
+def limits(docs: DataFrame, model: PpmModel, fence: float = 5.0, least: int = 50) -> list[tuple[str, int, float]]:
+    """(language, class of size, bits a byte) beyond which a text is in none of the languages: the quartiles of all rows of docs
+    (counted exactly, in steps of 1/100) and ``fence`` times the distance between them. A class with fewer rows than
+    ``least`` has the limit of plain bytes, eight."""
+    judged = identify(docs.withColumn("size__", F.octet_length("text")), model, keep=("size__",)).where(F.col("lang_pred") != UNDETERMINED)
+    steps_of = judged.groupBy("lang_pred", _class(F.col("size__")).alias("class"), F.floor(F.col("bits_per_byte") * 100).alias("step")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    out = []
+    for (lang, number), g in steps_of.sort_values("step").groupby(["lang_pred", "class"]):
+        total = g["n"].cumsum().to_numpy()
+        q1, q3 = (float(g["step"].iloc[int(np.searchsorted(total, share * total[-1]))]) / 100 for share in (0.25, 0.75))
+        out.append((lang, int(number), q3 + fence * (q3 - q1 + 0.02) if total[-1] >= least else 8.0))
+    return out
+
+
+def keep_identified(docs: DataFrame, model: PpmModel, fence: float = 5.0) -> DataFrame:
+    """The rows of docs (text) in a learned language: those that are not ``und`` and whose best code is no longer, a byte, than
+    the limit of their language and size, nor than plain bytes. The limits are a row for each language and class."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, {(lang, number): most for lang, number, most in limits(docs, model, fence)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, most = shared.value
         for batch in steps(batches, step=2 << 20):
-            lang, _, bits = _judge(shared.value, batch.column("text"))
-            yield batch.filter(pa.array([x != UNDETERMINED and b <= most_bits for x, b in zip(lang, bits, strict=True)], pa.bool_()))
+            lang, _, bits = _judge(model, batch.column("text"))
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+            kept = [x != UNDETERMINED and b <= min(8.0, most.get((x, (max(n, 1).bit_length() - 1) // 2), 8.0)) for x, b, n in zip(lang, bits, size, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

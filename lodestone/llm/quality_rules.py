@@ -5,14 +5,18 @@ the highest order has raw counts, the lower ones the number of different bytes s
 order its three discounts; grams that occur once give their mass to the shorter context. Spark counts the grams of all texts; tasks add up their own before the
 shuffle. The model is stored in sorted arrays of gram hashes with their log probabilities and, for
 contexts, their back-off weights. A gram is ``ORDER`` bytes, so its size follows the variety of the
-scripts and not the number of documents; it is checked before the arrays are broadcast.
+scripts and not the number of documents. The arrays of as many languages as have ``MOST_GRAMS`` together
+are broadcast at a time; with more, the texts are measured in several passes, each over its own languages.
 
 A document's mean log probability is compared with the bands of its language: quartiles of all its
-documents (counted exactly, in steps of 1/1000 bit) widened by ``width`` interquartile ranges, and
-by more for a short text, whose mean varies more. Beyond the upper band a text is noise, below the
-lower one it is repetition.
-
-A null text has no words. Null languages form a language of their own. Repeated rows are each judged.
+documents (counted exactly, in steps of 1/1000 bit) widened by ``width`` interquartile ranges (1.5, as is
+usual for outliers), and by more for a short text, whose mean varies more. Beyond the upper band a text
+is noise, below the lower one it is repetition. The bands are those of the model's own texts: with all of
+them counted, one text hardly moves it, and grams that only it has are left out.
+
+A null or empty text has no words and fails. Null languages form a language of their own. Repeated rows are each
+judged, equal rows alike; there are no ties to break. A very long text is a step of its own. Empty input gives empty output.
+Only ``keep``, text and lang are read of other columns.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ from .common import SPACE, hash_words, map_arrow, mix, per_document, steps, text
 
 #: Bytes of a gram: at most four, as a gram is packed in 32 bits.
 ORDER = 4
-#: The model is broadcast: with more grams than this it is refused.
-MOST_GRAMS = 50_000_000
+#: Grams of the models that are broadcast together: about 16 bytes each. A language has fewer, as its script bounds them.
+MOST_GRAMS = 20_000_000
+#: Stands for a null language: a character for private use, which no language is named by.
+NO_LANG = "\ue000"
 #: Occurrences (in lower orders: different bytes before) that a gram of two bytes or more needs.
 LEAST = 2
 SYMBOLS = np.zeros(256, bool)
@@ -89,7 +95,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 k = keys[at : at + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.astype(np.int64)), pa.array(n[at : at + 200_000].astype(np.int64))], names=["lang", "gram", "n"])
 
-    texts = docs.select(F.coalesce(F.col("lang"), F.lit("")).alias("lang"), "text")
+    texts = docs.select(F.coalesce(F.col("lang"), F.lit(NO_LANG)).alias("lang"), "text")
     return map_arrow(texts, run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -194,18 +200,32 @@ class KneserNey:
         return out
 
 
+def _groups(counts: DataFrame) -> list[list[str]]:
+    """The languages, as many together as have ``MOST_GRAMS``."""
+    out: list[list[str]] = []
+    total = 0
+    for r in sorted(counts.groupBy("lang").count().collect(), key=lambda r: (r["count"], r["lang"])):
+        if not out or total + r["count"] > MOST_GRAMS:
+            out, total = [*out, []], 0
+        out[-1].append(r["lang"])
+        total += r["count"]
+    return out
+
+
+def _fit(counts: DataFrame, languages: list[str]) -> dict[str, KneserNey]:
+    frames = {lang: counts.where(F.col("lang") == lang).select("gram", "n").toPandas() for lang in languages}
+    return {lang: KneserNey.of(g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in frames.items()}
+
+
 def train(docs: DataFrame) -> dict[str, KneserNey]:
     """A model of each language, from the counts of all texts."""
     counts = written(count_grams(docs), "grams")
-    if (size := counts.count()) > MOST_GRAMS:
-        raise ValueError(f"{size} grams are too many to broadcast; lower ORDER")
-    frame = counts.toPandas()
-    return {lang: KneserNey.of(g["gram"].to_numpy(), g["n"].to_numpy()) for lang, g in frame.groupby("lang")}
+    return {lang: model for group in _groups(counts) for lang, model in _fit(counts, group).items()}
 
 
 def measure(docs: DataFrame, models: dict[str, KneserNey], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The counts of each text and ``bits`` (mean log2 perplexity of its bytes), with lang__ and bytes__."""
-    source = docs.select(*keep, F.coalesce(F.col("lang"), F.lit("")).alias("lang__"), F.col("text").alias("text__"))
+    source = docs.select(*keep, F.coalesce(F.col("lang"), F.lit(NO_LANG)).alias("lang__"), F.col("text").alias("text__"))
     schema = source.drop("text__").schema
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bytes__")
     for name in names:
@@ -235,6 +255,8 @@ def measure(docs: DataFrame, models: dict[str, KneserNey], keep: tuple[str, ...]
                 at = np.repeat(which, np.diff(offsets))
                 for k, lang in enumerate(langs.tolist()):
                     some = np.flatnonzero(at == k)
+                    if not len(some):
+                        continue
                     p[some] = shared.value[lang].log2_p(gram[some])
                 bits = -per_document(p.astype(np.float64), offsets) / np.maximum(1, np.diff(offsets))
             columns = [np.diff(bounds), chars, symbols, lines, repeated, np.diff(offsets)]
@@ -271,9 +293,23 @@ def bands(measured: DataFrame, width: float) -> dict[str, tuple[float, float]]:
     return out
 
 
-def quality_rules(docs: DataFrame, *, width: float = 6.0, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _measured(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """measure() by the models of docs themselves."""
+    counts = written(count_grams(docs), "grams")
+    groups = _groups(counts)
+    if len(groups) <= 1:
+        return written(measure(docs, _fit(counts, groups[0] if groups else []), keep), "measured")
+    lang, out = F.coalesce(F.col("lang"), F.lit(NO_LANG)), None
+    known = [x for group in groups for x in group]
+    for own, group in [*((lang.isin(g), g) for g in groups), (~lang.isin(known), [])]:  # the last have no bytes
+        part = written(measure(docs.where(own), _fit(counts, group), keep), "measured")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def quality_rules(docs: DataFrame, *, width: float = 1.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts, base_failed, perplexity per byte and kept of each row of docs (text, lang)."""
-    measured = written(measure(docs, train(docs), keep), "measured")
+    measured = _measured(docs, keep)
     by_lang = bands(measured, width)
     low, high = F.lit(None).cast("double"), F.lit(None).cast("double")
     for lang, (a, b) in by_lang.items():

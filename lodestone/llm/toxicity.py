@@ -12,9 +12,11 @@ id; all if there are fewer); buckets are counted on the executors, and the drive
 features of the sample alone. Prediction is one map over all rows and whole texts, without a shuffle.
 
 The decision threshold is the one with the best F1 on the out-of-fold probabilities. Rows without
-a label of a category are not used for it; several labels of one id count as the largest. A category with
-one class only has its smoothed share as probability, and nothing is flagged if that is the last.
-Null and empty texts have no features. Repeated rows give repeated results.
+a label of a category are not used for it; several labels of one id count as the largest, and of several texts of
+one id the least is learned from. A category with one class only has its smoothed share as probability, and nothing is
+flagged if that is the last. Null and empty texts have no features. Repeated rows give repeated results. Of features with
+equal chi-square the lower bucket is taken. Very long texts are a step of their own. Empty input gives empty output, and
+without labels nothing is flagged. Only ``keep`` and the text are read of other columns.
 """
 
 from __future__ import annotations
@@ -133,8 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: list[str], *, sample: in
     total = known.count()
     share = int(min(1.0, sample / max(1, total)) * (1 << 20))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < share)
-    # the sample's size is bounded, so the labels go to the texts
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text", *categories)
+    # the sample's size is bounded, so the labels go to the texts; an id that several rows have has one text
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *categories).agg(F.min("text").alias("text"))
+    rows = found.select(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text", *categories)
     kinds = len(categories)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,13 +31,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, written
 
 #: Fixed values of the Zstandard formats: magic numbers of skippable frames and of the seek table.
 SKIPPABLE, SEEK_SKIPPABLE, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 EMPTY_FRAME = struct.pack("<II", SKIPPABLE, 0)
 #: Bytes of records after which a frame ends.
 FRAME_BYTES = 256 << 10
+#: Pages of one payload from which their ids are not dealt out by it.
+HOT = 100_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 
@@ -132,9 +134,13 @@ def plan_revisits(pages: DataFrame, *, page_id: str, payload: Column, min_revisi
     keyed = pages.withColumn("digest__", F.sha1(payload.cast("binary")))
     long_enough = F.octet_length(payload) >= min_revisit_bytes
     groups = keyed.where(long_enough).groupBy("digest__").agg(F.max(page_id).alias("target__"), F.count(F.lit(1)).alias("n__"), F.count(page_id).alias("known__")).where("n__ > 1")
-    # narrow rows only: the ids of revisits, then the payloads meet them by id and digest
+    groups = written(groups, "digests")
+    # narrow rows only: the ids of revisits, then the payloads meet them by id and digest. The ids of a popular payload stay where
+    # they are: such digests are few, a row for each HOT pages at most
     ids = keyed.where(long_enough).select("digest__", F.col(page_id).alias("id__"))
-    revisits = ids.join(groups, "digest__").where("known__ > 0 and not (id__ <=> target__)").select("digest__", "id__", "target__").distinct()
+    popular, others = F.broadcast(groups.where(F.col("n__") > HOT)), groups.where(F.col("n__") <= HOT)
+    met = ids.join(popular.select("digest__"), "digest__", "left_anti").join(others, "digest__").unionByName(ids.join(popular, "digest__"))
+    revisits = met.where("known__ > 0 and not (id__ <=> target__)").select("digest__", "id__", "target__").distinct()
     return (
         keyed.alias("p")
         .join(revisits.alias("r"), (F.col(f"p.{page_id}").eqNullSafe(F.col("r.id__"))) & (F.col("p.digest__") == F.col("r.digest__")), "left")

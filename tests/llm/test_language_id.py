@@ -1,3 +1,4 @@
+import random
 import math
 from collections import Counter, defaultdict
 from functools import cache
@@ -73,3 +74,19 @@ def test_odd_rows(spark):
 def test_nothing_to_learn_from(spark):
     docs = docs_frame(spark, [(1, "abc", None, "s", 3)])
     assert [r.lang_pred for r in language_id.identify(docs, language_id.train(docs)).collect()] == ["und"]
+
+
+def test_limits_by_brute_force_and_what_they_reject(spark):
+    """Texts of one kind set the limit of their language and size; a text far from the language goes, others stay."""
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("etaoinshr") for _ in range(r.randrange(2, 8))) for _ in range(200)]
+    prose = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(120)]
+    noise = " ".join("".join(r.choice("QXZJKVW!#%&") for _ in range(6)) for _ in range(50)) + " a"
+    docs = docs_frame(spark, [*prose, noise])
+    model = language_id.train(docs.where("doc_id < 120"))
+    rows = language_id.identify(docs, model, keep=("doc_id", "text")).collect()
+    for lang, number, most in language_id.limits(docs, model):
+        some = sorted(int(np.floor(x.bits_per_byte * 100)) / 100 for x in rows if x.lang_pred == lang and int(math.log2(max(1, len(x.text.encode()))) / 2) == number)
+        q1, q3 = (some[math.ceil(share * len(some)) - 1] for share in (0.25, 0.75))
+        assert most == (pytest.approx(q3 + 5 * (q3 - q1 + 0.02)) if len(some) >= 50 else 8.0)
+    assert {x.doc_id for x in language_id.keep_identified(docs, model).collect()} == set(range(120))

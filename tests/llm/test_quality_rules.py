@@ -101,3 +101,32 @@ def test_odd_rows(spark):
     for i, text in enumerate(ODD):
         assert columns(got[i]) == brute(text)
     assert Q.quality_rules(docs_frame(spark, [])).count() == 0
+
+
+def test_bands_by_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = [(lang, float(x), 100) for lang in ("a", "b") for x in r.normal(2, 0.3, 301)] + [("c", 1.5, 10), ("a", 9.0, 0)]
+    got = Q.bands(spark.createDataFrame(rows, "lang__ string, bits double, bytes__ long"), 1.5)
+    for lang in ("a", "b", "c"):
+        x = sorted(math.floor(b * 1000) / 1000 for k, b, n in rows if k == lang and n)
+        q1, q3 = (x[math.ceil(share * len(x)) - 1] for share in (0.25, 0.75))
+        assert got[lang] == pytest.approx((q1 - 1.5 * (q3 - q1 + 0.02), q3 + 1.5 * (q3 - q1 + 0.02)))
+
+
+def test_the_bands_reject_labelled_noise_and_keep_the_rest(spark):
+    """Of labelled documents that pass the base rules: low quality against the others."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = {q: (n, k) for q, n, k in op10_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").selectExpr("quality", "int(kept) as k").groupBy("quality").agg({"*": "count", "k": "sum"}).select("quality", "count(1)", "sum(k)").collect()}
+    assert kept[0][1] < 0.75 * kept[0][0] and kept[1][1] > 0.985 * kept[1][0]
+
+
+def test_languages_in_groups_give_what_one_group_gives(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "text", "if(doc_id % 9 = 0, null, if(doc_id % 9 = 1, '', lang)) as lang")
+    docs = docs.union(spark.createDataFrame([(900, None, "xx"), (901, "", "yy"), (902, None, None)], "doc_id long, text string, lang string"))
+    rows = lambda: sorted((*(v for v in r if not isinstance(v, float)), round(r.perplexity, 9)) for r in Q.quality_rules(docs).collect())
+    want = rows()
+    assert len(Q.train(docs)) == 6  # four languages, '' and null
+    monkeypatch.setattr(Q, "MOST_GRAMS", 30_000)
+    assert len(Q._groups(Q.count_grams(docs))) > 1
+    assert rows() == want
