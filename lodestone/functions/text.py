@@ -37,6 +37,13 @@ SKIP_HOSTS = [
     "twitter.com", "x.com", "instagram.com", "facebook.com", "linkedin.com",
     "reddit.com", "netflix.com", "localhost",
 ]
+# Pages of the browser itself, and hosts where people write to each other.
+OWN_PAGES = "^(chrome://|chrome-extension://|edge://|about:|file://)"
+CHAT_HOSTS = [
+    "discord.com", "slack.com", "web.whatsapp.com", "teams.microsoft.com", "teams.live.com", "messenger.com", "web.telegram.org", "telegram.org",
+    "mail.google.com", "chat.google.com", "outlook.office.com", "outlook.live.com", "signal.org", "element.io", "matrix.org", "groupme.com",
+    "instagram.com", "twitter.com", "x.com", "linkedin.com",
+]
 JUNK_HOSTS = ["localhost", "newtab", "google.com", "duckduckgo.com", "bing.com"]
 JUNK_PATH = r"(?i)/(login|signin|signup|logout|verify|otp|2fa|search|results)\b"
 # Blocks without content, elements that end a line, named characters.
@@ -152,6 +159,63 @@ def question_like(title: Column, summary: Column) -> Column:
     return hay.contains("?") | hay.rlike(REQUEST)
 
 
+def has_content(title: Column, summary: Column) -> Column:
+    """A summary that says more than the title: 40 characters or more."""
+    said, named = F.trim(F.coalesce(summary, F.lit(""))), F.trim(F.coalesce(title, F.lit("")))
+    return (F.length(said) >= 40) & (F.lower(said) != F.lower(named))
+
+
+def capturable(url: Column, blocked: list[str] | None = None) -> Column:
+    """A page of its own right, on no host that ends as one of those blocked."""
+    host, out = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#:]+)", 1), ~url.rlike(OWN_PAGES)
+    for suffix in blocked or []:
+        out = out & ~host.endswith(suffix.strip())
+    return F.coalesce(out & (url != ""), F.lit(False))
+
+
+def chat_host(url: Column) -> Column:
+    return F.coalesce(in_hosts(host_of(url), CHAT_HOSTS), F.lit(False))
+
+
+def safe_link(url: Column) -> Column:
+    """The url if it is one of the web, else null."""
+    return F.when(F.trim(url).rlike("(?i)^https?://"), F.trim(url))
+
+
+def short_name(author: Column) -> Column:
+    """The name before an address in angles, else what is before the @."""
+    s = F.trim(F.coalesce(author, F.lit("")))
+    angled = F.regexp_extract(s, r'^"?([^"<]+?)"?\s*<', 1)
+    name = F.trim(F.when(angled != "", angled).otherwise(F.substring_index(s, "@", 1)))
+    return F.when(name == "", "Someone").otherwise(name)
+
+
+def clip_middle(text: Column, most: int, head_share: float, mark: str, spare: int) -> Column:
+    """The head and the tail of a long text with a mark between them; ``spare`` characters are left for it."""
+    s, head = F.coalesce(text, F.lit("")), int(most * head_share)
+    return F.when(F.length(s) <= most, s).otherwise(F.concat(F.substring(s, 1, head), F.lit(mark), F.right(s, F.lit(most - head - spare))))
+
+
+def clip_for_model(text: Column, most: int = 8000) -> Column:
+    return clip_middle(text, most, 0.75, "\n\n…[content truncated]…\n\n", 32)
+
+
+def clip_for_local(text: Column, most: int = 6000) -> Column:
+    return clip_middle(text, most, 0.70, "\n…\n", 3)
+
+
+def reminder_label(text: Column, key: Column, most: int = 90) -> Column:
+    """A message in its own words: the whole, or the first clause that has the word ``key``, or the first; cut at a space."""
+    s = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"^[A-Z][\w .'-]{0,28}:\s+", "")
+    parts = F.split(s, r"(?<=[.!?])\s+")
+    named = F.filter(parts, lambda p: F.contains(F.lower(p), F.lower(key)))
+    chosen = F.coalesce(F.try_element_at(named, F.lit(1)), parts[0])
+    head = F.substring(chosen, 1, most + 1)
+    cut = F.when(F.instr(head, " ") > 0, F.length(head) - F.instr(F.reverse(head), " ")).otherwise(F.lit(0))
+    shown = F.trim(F.substr(chosen, F.lit(1), F.when(cut > 40, cut).otherwise(most)))
+    return F.when(F.length(s) <= most, s).when(F.length(chosen) <= most, F.trim(chosen)).otherwise(F.concat(shown, F.lit("…")))
+
+
 def follow_up(query: Column) -> Column:
     """Short, or with the beginning or a reference of a follow-up; words end at all but ASCII letters, digits and _,
     which Java's own word boundary does not say beside other letters."""

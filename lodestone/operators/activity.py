@@ -91,23 +91,14 @@ def implicit_entities(items: DataFrame) -> DataFrame:
 
 def fold_aliases(mentions: DataFrame) -> DataFrame:
     """mentions (mem_id, ord, norm, kind) with ``entity``: a person's bare first name is the one person seen before
-    who has it as the first of several names; with two such it stays by itself. Order decides, within a first name only."""
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["mem_id", "ord"])
-        full: set[str] = set()
-        out = []
-        for norm in group["norm"]:
-            alone = " " not in norm
-            out.append(next(iter(full)) if alone and len(full) == 1 else norm)
-            if not alone:
-                full.add(norm)
-        return group.assign(entity=out)[["mem_id", "ord", "norm", "kind", "entity"]]
-
-    people = mentions.where("kind = 'person'").withColumn("first__", F.split("norm", " ")[0])
-    folded = people.groupBy("first__").applyInPandas(lambda g: fold(g), "mem_id long, ord int, norm string, kind string, entity string")
-    others = mentions.where("kind <> 'person'").select("mem_id", "ord", "norm", "kind", F.col("norm").alias("entity"))
-    return folded.unionByName(others)
+    who has it as the first of several names; with two such it stays by itself. One pass in order over each first name, which
+    holds two names of it, however common it is."""
+    full = F.when((F.col("kind") == "person") & F.contains("norm", F.lit(" ")), F.col("norm"))
+    # the first of several names, so that other kinds are not one large group
+    before = Window.partitionBy("kind", F.split("norm", " ")[0]).orderBy("mem_id", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    seen = mentions.withColumns({"low__": F.min(full).over(before), "high__": F.max(full).over(before)})
+    alone = ~F.contains("norm", F.lit(" ")) & (F.col("low__") == F.col("high__"))
+    return seen.select("mem_id", "ord", "norm", "kind", F.when(alone, F.col("low__")).otherwise(F.col("norm")).alias("entity"))
 
 
 def entity_graph(edges: DataFrame) -> DataFrame:
@@ -140,6 +131,78 @@ def open_loops(items: DataFrame, now: Column, dismissed: DataFrame | None = None
     return found if dismissed is None else found.join(dismissed, ["mem_id", "kind"], "left_anti")
 
 
+def by_urgency(loops: DataFrame, limit: int = 25) -> DataFrame:
+    """The most urgent first, then the earlier due; those without a date last."""
+    return loops.orderBy(F.col("urgency").desc(), F.col("due").asc_nulls_last(), "mem_id").limit(limit)
+
+
+def latest_episodes(episodes: DataFrame, limit: int = 40, least: int = 3) -> DataFrame:
+    """Episodes (started_at, n) of ``least`` items or more, newest first."""
+    return episodes.where(F.col("n") >= least).orderBy(F.col("started_at").desc()).limit(limit)
+
+
+def find_entity(entities: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, kind, norm, how): of entities (kind, norm, aliases) the one that a name of asked (query_id, name) means: by its name, else by an
+    alias, else one whose name begins with that word; the first by name and kind. Each way is a join on equal names."""
+    q = asked.select("query_id", T.norm_name(F.col("name")).alias("asked")).where("asked <> ''")
+    words = F.split("norm", " ")
+    # all beginnings of a name that end before a space
+    begins = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+    keys = F.concat(
+        F.array(F.struct(F.lit(0).alias("how"), F.col("norm").alias("asked"))),
+        F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(F.lit(1).alias("how"), a.alias("asked"))),
+        F.when(F.size(words) > 1, F.transform(begins, lambda b: F.struct(F.lit(2).alias("how"), b.alias("asked")))).otherwise(F.array().cast("array<struct<how:int,asked:string>>")),
+    )
+    met = entities.select("kind", "norm", F.explode(keys).alias("k")).select("kind", "norm", "k.*").join(q, "asked")
+    order = Window.partitionBy("query_id").orderBy("how", "norm", "kind")
+    return met.withColumn("n__", F.row_number().over(order)).where("n__ = 1").select("query_id", "kind", "norm", "how")
+
+
+def rebuild_entities(items: DataFrame, tags: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(entities, links) of items (mem_id, ts, source_kind, author, attendees, channel, course, site_name, tags): entities (kind, norm, aliases, n,
+    first_seen, last_seen) with two items or more and all people; links (mem_id, kind, norm) from each item to those."""
+    none = F.array().cast("array<string>")
+    tagged = items.select("mem_id", "ts", F.posexplode(F.slice(F.coalesce("tags", none), 1, tags)).alias("ord", "name"))
+    named = implicit_entities(items).unionByName(tagged.select("mem_id", "ts", (F.col("ord") + 1_000).alias("ord"), "name", F.lit("concept").alias("kind")))
+    named = named.withColumn("norm", T.norm_name(F.col("name"))).where(usable_name(F.col("norm"), F.col("kind")))
+    folded = fold_aliases(named.select("mem_id", "ord", "norm", "kind"))
+    links = folded.join(items.select("mem_id", "ts"), "mem_id").select("mem_id", "kind", "ts", F.col("entity").alias("norm"), F.when(F.col("norm") != F.col("entity"), F.col("norm")).alias("alias"))
+    rolled = links.groupBy("kind", "norm").agg(
+        F.array_sort(F.collect_set("alias")).alias("aliases"), F.countDistinct("mem_id").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")
+    ).where("n >= 2 or kind = 'person'")
+    return rolled, links.join(rolled.select("kind", "norm"), ["kind", "norm"], "left_semi").select("mem_id", "kind", "norm").distinct()
+
+
+def rebuild_episodes(items: DataFrame, now: Column, *, gap_minutes: int = 45, least: int = 3, key: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """(episodes, members) of items (mem_id, key, created_at, title, site, kind, tag, vec): what has happened by now, cut at pauses and, where an episode
+    is long, at changes of topic. An episode has its name; members (mem_id, episode_id) refer back."""
+    past = items.where(F.col("created_at") <= now)
+    cut = sessionize(past, gap_minutes=gap_minutes, key=key, at="created_at", tie="mem_id").withColumn("session__", F.xxhash64(key, "session"))
+    parts = split_by_topic(cut.select(F.col("session__").alias("session"), D.micros(F.col("created_at")).alias("pos"), F.col("mem_id").alias("item"), "vec"))
+    placed = cut.join(parts.select(F.col("item").alias("mem_id"), "part"), "mem_id").withColumn("episode_id", F.sha1(F.concat_ws("/", F.col(key).cast("string"), "session", "part").cast("binary")))
+    size = Window.partitionBy("episode_id")
+    placed = placed.withColumn("n", F.count(F.lit(1)).over(size)).where(F.col("n") >= least)
+    order = F.struct("created_at", "mem_id")
+    rolled = placed.groupBy("episode_id", key).agg(F.min("created_at").alias("started_at"), F.max("created_at").alias("ended_at"), F.count(F.lit(1)).alias("n"), F.min_by("kind", order).alias("kind"))
+    first = lambda column: top_counts(placed, "episode_id", column, "created_at", 1).select("episode_id", column)
+    word = recurring_words(placed, "episode_id", "title", 1).select("episode_id", "word")
+    named = rolled.join(first("tag"), "episode_id", "left").join(word, "episode_id", "left").join(first("site"), "episode_id", "left")
+    named = named.withColumn("name", session_name(F.col("tag"), F.col("word"), F.col("site"), F.col("kind"))).drop("tag", "word", "site")
+    return named, placed.select("mem_id", "episode_id")
+
+
+def mark_resurfaced(items: DataFrame, shown: DataFrame, now: Column) -> DataFrame:
+    """items with last_resurfaced_at as of now for those of shown (mem_id)."""
+    marks = shown.select("mem_id", F.lit(True).alias("shown__")).distinct()
+    return items.join(marks, "mem_id", "left").withColumn("last_resurfaced_at", F.when(F.col("shown__"), now).otherwise(F.col("last_resurfaced_at"))).drop("shown__")
+
+
+def upcoming(items: DataFrame, now: Column) -> DataFrame:
+    """items (mem_id, source_kind, created_at, due, submitted) that are ahead, the nearest first: calendar entries, and coursework not handed in."""
+    ahead = ((F.col("source_kind") == "calendar") & (F.col("created_at") > now)) | ((F.col("source_kind") == "classroom") & (F.col("due") > now) & ~F.coalesce("submitted", F.lit(False)))
+    return items.where(ahead).select("mem_id", "source_kind", F.coalesce("due", "created_at").alias("at")).orderBy("at", "mem_id")
+
+
 def stability_days(kind: Column, visits: Column, scroll: Column, dwell_ms: Column, facts: Column, content_type: Column, light: Column, selected: Column) -> Column:
     """Days until an item fades to 1/e."""
     factor = lambda when, by: F.when(when, F.lit(by)).otherwise(F.lit(1.0))
@@ -188,6 +251,6 @@ def grouped_panel(items: DataFrame, caps: dict[str, int]) -> DataFrame:
     for name, n in caps.items():
         cap = F.when(F.col("category") == name, n).otherwise(cap)
     w = Window.partitionBy("category")
-    once = items.dropDuplicates(["mem_id"])
+    once = items.withColumn("n__", F.row_number().over(Window.partitionBy("mem_id").orderBy("category", F.col("at").desc()))).where("n__ = 1").drop("n__")
     out = once.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.col("at").desc(), "mem_id")))
     return out.where(F.col("rank") <= cap)

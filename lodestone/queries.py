@@ -15,6 +15,7 @@ from .functions import text as T
 from .functions import time as D
 from .functions import vector as V
 from .operators import activity, retrieval, search, tables
+from .plans import ingest
 from .sources import store
 from .streaming import streams
 
@@ -506,7 +507,9 @@ def implicit_entities(t):
     return activity.implicit_entities(e).select("mem_id", "ord", "name", "kind")
 
 
-@query()
+@query("""WITH m AS (SELECT c_custkey AS mem_id, 'n' || (c_custkey % 11) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' x' || (c_custkey % 2 * (c_custkey % 11 % 2)) END AS norm FROM customer)
+ SELECT mem_id, 0 AS ord, norm, 'person' AS kind, CASE WHEN NOT contains(norm, ' ') AND low = high THEN low ELSE norm END AS entity FROM
+ (SELECT *, min(CASE WHEN contains(norm, ' ') THEN norm END) OVER w AS low, max(CASE WHEN contains(norm, ' ') THEN norm END) OVER w AS high FROM m WINDOW w AS (PARTITION BY split_part(norm, ' ', 1) ORDER BY mem_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""")
 def alias_fold(t):
     m = t("customer").select(F.col("c_custkey").alias("mem_id"), F.lit(0).alias("ord"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("n"), (F.col("c_custkey") % 11).cast("string"))).otherwise(F.concat(F.lit("n"), (F.col("c_custkey") % 11).cast("string"), F.lit(" x"), (F.col("c_custkey") % 2 * (F.col("c_custkey") % 11 % 2)).cast("string"))).alias("norm"), F.lit("person").alias("kind"))
     return activity.fold_aliases(m)
@@ -647,3 +650,107 @@ def stream_sessions(t):
 def deepen_pages(t):
     text = T.character_references(T.html_to_text(F.col("html")))
     return t("pages").select("page_id", T.html_title(F.col("html")).alias("title"), text.alias("text")).where(F.length("text") >= 400)
+
+
+# ---- labels, times as text, lookups -----------------------------------------------------------------
+
+
+TITLES = "(SELECT doc_id, substr(text, 1, 1 + (doc_id % 60)::INT) AS title, substr(text, 1, 61) AS summary FROM documents)"
+
+
+@query(f"SELECT doc_id, length(trim(summary)) >= 40 AND lower(trim(summary)) <> lower(trim(title)) AS content FROM {TITLES}")
+def has_content(t):
+    d = t("documents").withColumns({"title": F.substr("text", F.lit(1), (1 + F.col("doc_id") % 60).cast("int")), "summary": F.substring("text", 1, 61)})
+    return d.select("doc_id", T.has_content(F.col("title"), F.col("summary")).alias("content"))
+
+
+@query("SELECT page_id, url <> '' AND NOT regexp_matches(url, '^(chrome://|chrome-extension://|edge://|about:|file://)') AND NOT ends_with(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#:]+)', 1), '1.example.org') AS capturable, CASE WHEN regexp_matches(trim(url), '(?i)^https?://') THEN trim(url) END AS link FROM pages")
+def capturable(t):
+    return t("pages").select("page_id", T.capturable(F.col("url"), ["1.example.org"]).alias("capturable"), T.safe_link(F.col("url")).alias("link"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 8000 THEN text ELSE substr(text, 1, 6000) || chr(10) || chr(10) || '…[content truncated]…' || chr(10) || chr(10) || right(text, 1968) END AS clipped, CASE WHEN length(text) <= 6000 THEN text ELSE substr(text, 1, 4200) || chr(10) || '…' || chr(10) || right(text, 1797) END AS local FROM documents")
+def clip_for_model(t):
+    return t("documents").select("doc_id", T.clip_for_model(F.col("text")).alias("clipped"), T.clip_for_local(F.col("text")).alias("local"))
+
+
+AGO = "(SELECT event_id, ts, now, (epoch_us(now) - epoch_us(ts)) / 86400000000.0::DOUBLE AS d FROM " + ACTIVITY + ")"
+
+
+@query("SELECT event_id, CASE WHEN f < 1 THEN 'today' WHEN f < 2 THEN 'yesterday' WHEN f < 30 THEN f || ' days ago' WHEN f < 365 THEN floor(f / 30.0 + 0.5)::BIGINT || ' months ago' ELSE floor(f / 365.0 + 0.5)::BIGINT || ' years ago' END AS said FROM (SELECT event_id, floor(d)::BIGINT AS f FROM " + AGO + ")")
+def day_ago(t):
+    return t("events").select("event_id", D.day_ago(F.col("ts"), now()).alias("said"))
+
+
+@query("SELECT event_id, 'in ' || n || ' ' || u || CASE WHEN n = 1 THEN '' ELSE 's' END AS ahead, n || ' ' || u || CASE WHEN n = 1 THEN '' ELSE 's' END || ' ago' AS back FROM (SELECT event_id, CASE WHEN d < 1 / 24.0 THEN 'min' WHEN d < 1 THEN 'hour' WHEN d < 30 THEN 'day' ELSE 'month' END AS u, greatest(1, floor(CASE WHEN d < 1 / 24.0 THEN d * 1440 WHEN d < 1 THEN d * 24 WHEN d < 30 THEN d ELSE d / 30 END + 0.5))::BIGINT AS n FROM " + AGO + " WHERE d > 0)")
+def how_far(t):
+    past = t("events").where(F.col("ts") < now())
+    return past.select("event_id", D.how_far(now(), F.col("ts")).alias("ahead"), D.how_far(F.col("ts"), now()).alias("back"))
+
+
+@query("""SELECT event_id, CASE WHEN k = 0 THEN CASE part WHEN 'overnight' THEN part WHEN 'night' THEN 'tonight' ELSE 'this ' || part END WHEN k = 1 THEN 'yesterday ' || part ELSE k || ' days ago, ' || part END AS said FROM
+ (SELECT event_id, k, CASE WHEN h < 5 THEN 'overnight' WHEN h < 12 THEN 'morning' WHEN h < 17 THEN 'afternoon' WHEN h < 21 THEN 'evening' ELSE 'night' END AS part FROM (SELECT event_id, user_id % 4 AS k, hour(ts) AS h FROM events))""")
+def part_of_day(t):
+    return t("events").select("event_id", D.part_of_day(F.col("ts"), F.col("user_id") % 4).alias("said"))
+
+
+@query(f"SELECT mem_id, kind, due, round(urgency, 6) AS urgency FROM ({LOOPS}) ORDER BY urgency DESC, due NULLS LAST, mem_id LIMIT 25")
+def urgent_loops(t):
+    return activity.by_urgency(_loops(t)).withColumn("urgency", F.round("urgency", 6))
+
+
+NAMED = "(SELECT c_custkey AS id, 'n' || (c_custkey % 7) || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' x' || (c_custkey % 5) END AS norm FROM customer)"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT norm FROM {NAMED}), q AS (SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 4 = 0 THEN 'N' || (o_orderkey % 9) WHEN o_orderkey % 4 = 1 THEN 'n' || (o_orderkey % 9) || ' X' || (o_orderkey % 5) WHEN o_orderkey % 4 = 2 THEN 'al n' || (o_orderkey % 9) ELSE 'none' END AS name FROM orders WHERE o_orderkey % 50 < 4),
+ f AS (SELECT query_id, norm, CASE WHEN lower(name) = norm THEN 0 WHEN lower(name) = 'al ' || norm THEN 1 WHEN starts_with(norm, lower(name) || ' ') THEN 2 END AS how FROM q, e)
+ SELECT query_id, 'person' AS kind, norm, how::INT AS how FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY how, norm) AS n FROM f WHERE how IS NOT NULL) WHERE n = 1""")
+def find_entity(t):
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    names = t("customer").select(F.when(k % 3 == 0, text("n", k % 7)).otherwise(text("n", k % 7, " x", k % 5)).alias("norm")).distinct()
+    entities = names.select(F.lit("person").alias("kind"), "norm", F.array(F.concat(F.lit("al "), F.col("norm"))).alias("aliases"))
+    name = F.when(o % 4 == 0, text("N", o % 9)).when(o % 4 == 1, text("n", o % 9, " X", o % 5)).when(o % 4 == 2, text("al n", o % 9)).otherwise("none")
+    return activity.find_entity(entities, t("orders").where("o_orderkey % 50 < 4").select(o.alias("query_id"), name.alias("name")))
+
+
+@query("SELECT mem_id, source_kind, x AS \"at\" FROM (SELECT event_id AS mem_id, CASE event_type WHEN 'signup' THEN 'classroom' ELSE 'calendar' END AS source_kind, CASE event_type WHEN 'signup' THEN ts + to_days(k) ELSE ts END AS x, k, now FROM " + ACTIVITY + " WHERE event_type IN ('signup', 'view')) WHERE x > now - INTERVAL 10 DAY AND (source_kind = 'calendar' OR k % 3 <> 0)")
+def upcoming(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    signup = F.col("event_type") == "signup"
+    items = t("events").where(F.col("event_type").isin("signup", "view")).select(F.col("event_id").alias("mem_id"), F.when(signup, "classroom").otherwise("calendar").alias("source_kind"), F.col("ts").alias("created_at"), F.when(signup, F.col("ts") + F.make_dt_interval(k)).alias("due"), (k % 3 == 0).alias("submitted"))
+    return activity.upcoming(items, now() - F.expr("INTERVAL 10 DAY"))
+
+
+@query()
+def parse_when(t):
+    said = t("region").sparkSession.createDataFrame([(s,) for s in MESSAGES], "text string")
+    return said.select("text", D.when(F.col("text"), now()).alias("w")).select("text", "w.*")
+
+
+@query()
+def ingest_pages(t):
+    stored, parts = ingest.ingest(t("pages").select("url", "html"), ingest.records(t("pages").select("url", "html")).limit(0))
+    return stored.select("url", "title", F.length("text").alias("chars"))
+
+
+def _episode_items(t) -> DataFrame:
+    v = t("embeddings")
+    e = activity_items(t).select("mem_id", "user_id", "created_at", F.concat(F.lit("Report "), F.col("source_kind")).alias("title"), "site", F.col("source_kind").alias("kind"), F.lit(None).cast("string").alias("tag"))
+    return e.withColumn("vec_id", F.col("mem_id") % 500).join(v.where("vec_id < 500").select("vec_id", F.col("embedding").alias("vec")), "vec_id", "left").drop("vec_id")
+
+
+@query()
+def rebuild_episodes(t):
+    episodes, _ = activity.rebuild_episodes(_episode_items(t), now(), gap_minutes=24 * 60)
+    return episodes.select("user_id", "started_at", "ended_at", "n", "name")
+
+
+@query()
+def rebuild_entities(t):
+    k = F.col("event_id")
+    text = lambda label, n: F.concat(F.lit(label), n.cast("string"))
+    author = F.when(k % 3 == 0, text("Ann", F.col("user_id") % 20)).otherwise(F.concat(text("Ann", F.col("user_id") % 20), text(" Lee", F.col("user_id") % 2 * (F.col("user_id") % 3))))
+    none = F.lit(None).cast("string")
+    items = t("events").select(k.alias("mem_id"), "ts", F.lit("web").alias("source_kind"), author.alias("author"), F.array().cast("array<string>").alias("attendees"), none.alias("channel"), none.alias("course"), F.lit("").alias("site_name"), F.array(F.col("event_type")).alias("tags"))
+    return activity.rebuild_entities(items)[0].withColumn("aliases", F.array_join("aliases", ","))

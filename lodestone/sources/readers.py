@@ -110,8 +110,11 @@ def local_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def exported(spark: SparkSession, path: str) -> DataFrame:
-    """The memories of an export file."""
-    return spark.read.json(path, multiLine=True).select(F.explode("memories").alias("m")).select("m.*")
+    """The memories of an export: a row a line, as ``sinks.export_json`` writes them, or one object with all of them."""
+    found = spark.read.json(path)
+    if "_corrupt_record" in found.columns:
+        found = spark.read.json(path, multiLine=True)
+    return found.select(F.explode("memories").alias("m")).select("m.*") if "memories" in found.columns else found
 
 
 def bookmark_nodes(tree: list[dict]) -> Iterator[tuple]:

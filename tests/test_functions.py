@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import commitments as C
 from lodestone.functions import text as T
+from lodestone.functions import time as D
 from lodestone.functions import vector as V
 from lodestone.functions.time import parse_when
 from lodestone.operators import activity, retrieval, tables
@@ -259,3 +260,63 @@ def test_reminder_timers(spark, tmp_path):
     finally:
         spark.conf.unset(key)
     assert sorted((r.id, r.what, r["at"]) for r in spark.table("fired_out").collect()) == [(1, "essay", at(12, 5)), (3, "late", at(9))]
+
+
+def one(spark, value, kind, *columns):
+    return tuple(spark.createDataFrame([(value,)], f"v {kind}").select(*columns).first())
+
+
+def test_labels_and_names(spark):
+    v = F.col("v")
+    said = "Jamie: the essay   is due. Bring it on friday at noon, with all of the notes that we made together in the library, please."
+    assert one(spark, said, "string", T.reminder_label(v, F.lit("friday")))[0] == "Bring it on friday at noon, with all of the notes that we made together in the library,…"
+    assert one(spark, "Ann: short one", "string", T.reminder_label(v, F.lit("x")))[0] == "short one"
+    assert [one(spark, x, "string", T.short_name(v))[0] for x in ('"Lee, Ann" <ann@lee.org>', "ann.lee@x.org", " ", None)] == ["Lee, Ann", "ann.lee", "Someone", "Someone"]
+    assert [one(spark, x, "string", T.chat_host(v))[0] for x in ("https://app.slack.com/a", "https://www.x.com/", "https://box.com", None)] == [True, True, False, False]
+    assert one(spark, "abcdefghij" * 10, "string", F.length(T.clip_middle(v, 50, 0.5, "--", 2)))[0] == 50
+    assert [one(spark, x, "string", D.summary_scope(v))[0] for x in ("Give me a daily summary", "what did I do yesterday", "yesterday's recap please", "apples")] == [0, 1, 1, None]
+    assert [one(spark, x, "string", T.safe_link(v))[0] for x in ("javascript:alert(1)", " HTTPS://a.org ", None)] == [None, "HTTPS://a.org", None]
+
+
+def test_times_as_text(spark):
+    v, at = F.col("v"), F.lit("2026-03-04 10:00:00").cast("timestamp")
+    both = lambda ts: one(spark, ts, "timestamp", D.countdown(v, at), D.ago_or_in(v, at), D.ago_or_in(v, at, weeks=30), D.day_ago(v, at), D.how_far(v, at))
+    assert both(datetime(2026, 3, 4, 10, 20)) == ("in 20 min", "in 20 min", "in 20 min", "today", "in 20 mins")
+    assert both(datetime(2026, 3, 4, 11, 10))[0] == "in 1 hour"
+    assert [both(datetime(2026, 3, d, 10))[0] for d in (5, 7, 13)] == ["tomorrow", "in 3 days", "Fri, Mar 13"]
+    assert both(datetime(2026, 2, 17, 10)) == ("now", "Feb 17, 2026", "2w ago", "15 days ago", "15 days ago")
+    assert both(datetime(2025, 3, 4, 10))[3:] == ("1 years ago", "12 months ago")
+    assert one(spark, datetime(2026, 3, 4, 9, 58, 30), "timestamp", D.ago_or_in(v, at, minute="m"))[0] == "1m ago"
+    assert one(spark, 17, "int", D.spoken_clock(v, F.lit(5)), D.spoken_clock(F.lit(0), F.lit(0))) == ("5:05pm", "12am")
+
+
+def test_exports_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "alpha", [0.5]), (2, None, None)], "id long, text string, vec array<double>")
+    sinks.export_json(rows, str(tmp_path / "out"))
+    assert sorted((r.id, r.text) for r in readers.exported(spark, str(tmp_path / "out")).collect()) == [(1, "alpha"), (2, None)]
+    (tmp_path / "one.json").write_text('{"version": 2,\n "memories": [{"id": 7, "text": "x"}]}')
+    assert [(r.id, r.text) for r in readers.exported(spark, str(tmp_path / "one.json")).collect()] == [(7, "x")]
+
+
+def test_episodes_and_entities_from_items(spark):
+    at = lambda h, m=0: datetime(2026, 3, 4, h, m)
+    now = F.lit("2026-03-04 20:00:00").cast("timestamp")
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    rows = [(k, 1, at(9, 3 * k), "garden notes", "a.org", "web", None, near if k < 5 else far) for k in range(10)] + [(20 + k, 1, at(15, k), "x", "b.org", "web", "tag", None) for k in range(3)]
+    rows += [(30, 1, at(23), "later", "b.org", "web", None, None), (31, 1, at(18), "alone", "b.org", "web", None, None)]
+    items = spark.createDataFrame(rows, "mem_id long, user_id long, created_at timestamp, title string, site string, kind string, tag string, vec array<double>")
+    episodes, members = activity.rebuild_episodes(items, now)
+    assert sorted((r.n, r.name) for r in episodes.collect()) == [(3, "tag"), (5, "garden · a.org"), (5, "garden · a.org")]
+    assert sorted(r.mem_id for r in members.collect()) == [*range(10), 20, 21, 22]
+    assert [r.n for r in activity.latest_episodes(episodes, 1).collect()] == [3]
+    people = [(1, "Ann Lee"), (2, "Ann"), (3, "Bob Ray"), (4, "Bob Fox"), (5, "Bob")]
+    mentions = spark.createDataFrame([(i, at(1, i), "web", n, [], None, None, "", ["news"] if i < 3 else []) for i, n in people], "mem_id long, ts timestamp, source_kind string, author string, attendees array<string>, channel string, course string, site_name string, tags array<string>")
+    entities, links = activity.rebuild_entities(mentions)
+    got = {(r.kind, r.norm): (r.aliases, r.n) for r in entities.collect()}
+    assert got == {("person", "ann lee"): (["ann"], 2), ("person", "bob ray"): ([], 1), ("person", "bob fox"): ([], 1), ("person", "bob"): ([], 1), ("concept", "news"): ([], 2)}
+    assert links.where("norm = 'ann lee'").count() == 2
+    asked = spark.createDataFrame([(1, "Ann"), (2, "Bob Ray"), (3, "none")], "query_id long, name string")
+    assert sorted((r.query_id, r.norm, r.how) for r in activity.find_entity(entities, asked).collect()) == [(1, "ann lee", 1), (2, "bob ray", 0)]
+    shown = spark.createDataFrame([(1,)], "mem_id long")
+    marked = activity.mark_resurfaced(mentions.select("mem_id", F.lit(None).cast("timestamp").alias("last_resurfaced_at")), shown, now)
+    assert [r.mem_id for r in marked.where("last_resurfaced_at is not null").collect()] == [1]
