@@ -207,7 +207,8 @@ def one_of_each(docs: DataFrame, *, words: int = 5, similarity: float = 0.8) ->
     found = similar_groups(rows, words=words, similarity=similarity, doc_id="row").select("row.*", F.col("component_id").alias("first"))
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (~F.col("none") | (F.col("text_key") == F.col("first.text_key")))
     gone = written(found.where(~stays).select("doc_id", "text_key").distinct(), "gone")
+    xxhash_of = lambda table: F.xxhash64(table["text"])
     # gone grows with docs, so it is never broadcast
-    left = docs.where("doc_id is not null").join(gone.where("doc_id is not null").hint("shuffle_hash"), (docs["doc_id"] == gone["doc_id"]) & (key == F.col("text_key")), "left_anti")
-    nameless = docs.where("doc_id is null").join(gone.where("doc_id is null"), key == F.col("text_key"), "left_anti")
+    left = docs.where("doc_id is not null").join(gone.where("doc_id is not null").hint("shuffle_hash"), (docs["doc_id"] == gone["doc_id"]) & (xxhash_of(docs) == gone["text_key"]), "left_anti")
+    nameless = docs.where("doc_id is null").join(gone.where("doc_id is null"), xxhash_of(docs) == gone["text_key"], "left_anti")
     return left.unionByName(nameless.dropDuplicates(["text"]))
