@@ -101,7 +101,7 @@ def _chunks(marked: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 32, 0
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         held: dict[int, list[tuple[pa.RecordBatch, np.ndarray, bytes]]] = {}
 
         def chunk(part: int) -> pa.RecordBatch:
