@@ -1,6 +1,6 @@
 import binascii
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -17,8 +17,29 @@ def mod5(i):
     return binascii.crc32(str("" if i is None else i).encode()) % 5
 
 
+BUCKETS, BINS = 24, 64
+
+
+def em(items):
+    """Mixture weights by bucket, one item after the other: {(bucket, estimates): n}; half a token of each model beside the counts."""
+    models = len(next(iter(items))[1])
+    w = {b: [1 / models] * models for b, _ in items}
+    for _ in range(30):
+        sums = {b: [0.5] * models for b in w}
+        for (b, p), n in items.items():
+            joint = [x * y for x, y in zip(w[b], p, strict=True)]
+            for m in range(models):
+                sums[b][m] += n * joint[m] / sum(joint)
+        new = {b: [x / sum(s) for x in s] for b, s in sums.items()}
+        moved = max(abs(x - y) for b in w for x, y in zip(w[b], new[b], strict=True))
+        w = new
+        if moved < 1e-5:
+            break
+    return w
+
+
 def brute(rows, order):
-    """By id: the contract's columns, and the model by direct counting with the fitted bins."""
+    """By id: the contract's columns, and the model by direct counting, with weights by plain expectation-maximisation."""
     tokens = {i: [*words(lower(t)), None] for i, t in rows}
     parts = {i: "scored" if mod5(i) == 1 else "held" if mod5(i) == 0 else "kept" for i in tokens}
 
@@ -46,11 +67,11 @@ def brute(rows, order):
             else:
                 context = docs if set(before) == {"<s>"} else grams[m - 1][before]
             out.append(c / context if context else 0.0)
-        bucket = min(L._BUCKETS - 1, int(math.log2(context)) + 1) if context else 0
+        bucket = min(BUCKETS - 1, int(math.log2(context)) + 1) if context else 0
         return [*out[::-1], 1 / (v + 1)], bucket
 
     def binned(p):
-        return 2.0 ** (-min(L._BINS - 2, round(-2 * math.log2(p))) / 2) if p else 0.0
+        return 2.0 ** (-min(BINS - 2, round(-2 * math.log2(p))) / 2) if p else 0.0
 
     held = Counter()
     for i, ts in tokens.items():
@@ -58,9 +79,8 @@ def brute(rows, order):
             padded = ["<s>"] * (order - 1) + ts
             for k in range(order - 1, len(padded)):
                 p, bucket = estimates(kept, kept_docs, padded, k)
-                held[bucket, *map(binned, p[:-1]), p[-1]] += 1
-    keys = sorted(held)
-    w = L.expectation_maximisation(np.array([k[0] for k in keys], np.int64), np.array([k[1:] for k in keys]).reshape(len(keys), order + 1), np.array([held[k] for k in keys], float))
+                held[bucket, (*map(binned, p[:-1]), p[-1])] += 1
+    w = defaultdict(lambda: [1 / (order + 1)] * (order + 1), em(held) if held else {})
     out = {}
     for i, ts in tokens.items():
         padded = ["<s>"] * (order - 1) + ts
