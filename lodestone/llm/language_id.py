@@ -229,7 +229,7 @@ def _class(size: Column) -> Column:
     return F.floor(F.log2(F.greatest(size, F.lit(1)).cast("double")) / 2).cast("int")
 
 
-def limits(docs: DataFrame, model: PpmModel, fence: float = 5.0, least: int = 50) -> list[tuple[str, int, float]]:
+def limits(docs: DataFrame, model: PpmModel, fence: float = 15.0, least: int = 50) -> list[tuple[str, int, float]]:
     """(language, class of size, bits a byte) beyond which a text is in none of the languages: the quartiles of all rows of docs
     (counted exactly, in steps of 1/100) and ``fence`` times the distance between them. A class with fewer rows than
     ``least`` has the limit of plain bytes, eight."""
@@ -243,7 +243,7 @@ def limits(docs: DataFrame, model: PpmModel, fence: float = 5.0, least: int = 50
     return out
 
 
-def keep_identified(docs: DataFrame, model: PpmModel, fence: float = 5.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: PpmModel, fence: float = 15.0) -> DataFrame:
     """The rows of docs (text) in a learned language: those that are not ``und`` and whose best code is no longer, a byte, than
     the limit of their language and size, nor than plain bytes. The limits are a row for each language and class."""
     shared = docs.sparkSession.sparkContext.broadcast((model, {(lang, number): most for lang, number, most in limits(docs, model, fence)}))
