@@ -36,8 +36,18 @@ def remove(spark: SparkSession, path: str) -> None:
             pass
 
 
+#: Has Spark remove the shuffle files of a query when it ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder: computed once, its lineage cut, safe from lost executors. What it shuffled is
+    not needed any more and is removed at once."""
+    spark = df.sparkSession
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
