@@ -31,7 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """Keep one document of each group of near duplicates: SimHash fingerprints of five-word shingles that share a block and are
+    within 20 of 64 bits, and then an exact similarity of 0.8."""
     return similar_texts.one_of_each(docs, words=5, similarity=0.8)
 
 

@@ -90,3 +90,53 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
     named = sorted((r.doc_id, r.text) for r in kept if r.doc_id is not None)
     assert named == [(3, "A b c d e f"), (4, None), (5, "one two three four five six"), (9, "clean text of its own here")]
     assert [r.text.lower() for r in kept if r.doc_id is None] == ["x y z q r s"]
+
+
+def test_blocks_are_simhashes():
+    h = np.random.default_rng(3).integers(0, 2**63, 400, dtype=np.uint64)
+    for n in (1, 2, 7, 30, 400):
+        level = S.size_class(n, 0.8)
+        groups, want = S.groups_of(level, 0.8), []
+        for parting in range(-(-S.KEYS // groups)):
+            group, bits = (x.tolist() for x in S.parted(h[:n], parting, groups))
+            for g in range(min(groups, S.KEYS)):
+                some = [b for b, k in zip(bits, group, strict=True) if k == g]
+                want.append(sum(1 << k for k in range(64) if 2 * sum(b >> k & 1 for b in some) > len(some)))
+        assert S.fingerprint(h[:n], level, 0.8).tolist() == want
+        assert [k for k, _ in S.by_class(S.both_fingerprints(h[:n], 0.8), 0.8)] == [level, level + 1]
+
+
+def test_near_groups_against_all_distances():
+    r = random.Random(4)
+    for _ in range(100):
+        base = [r.getrandbits(192) for _ in range(3)]
+        prints = [r.choice(base) ^ sum(1 << r.randrange(192) for _ in range(r.randrange(9))) for _ in range(r.randrange(2, 30))]
+        near = [(a, b) for a in range(len(prints)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 6]
+        rows = np.array([[p >> 64 * k & 2**64 - 1 for k in range(3)] for p in prints], np.uint64)
+        got = {frozenset(g.tolist()) for g in S.near_groups(rows, 2)}
+        assert got == {g for g in joined(len(prints), near) if len(g) > 1}
+
+
+def test_similar_texts_are_within_the_radius():
+    r, furthest = np.random.default_rng(6), 0
+    for n in [*range(4, 60), 80, 150, 400, 1000] * 5:
+        more = int(n / 4)
+        x = int(r.integers(0, more + 1))
+        h = r.integers(0, 2**63, n + more, dtype=np.uint64)
+        a, b = (dict(S.by_class(S.both_fingerprints(s, 0.8), 0.8)) for s in (h[: n + x], np.concatenate([h[:n], h[n + x :]])))
+        assert a.keys() & b.keys()
+        for level in a.keys() & b.keys():
+            assert ((a[level] == b[level]) & (a[level] != 0)).any()
+            furthest = max(furthest, np.bitwise_count(a[level] ^ b[level]).sum() / len(a[level]))
+    assert 6 < furthest <= S.RADIUS
+
+
+def test_fingerprints_decide_what_is_compared(spark):
+    r = random.Random(8)
+    texts = []
+    for size in (9, 14, 25, 40):
+        base = [f"w{r.randrange(3000)}" for _ in range(size)]
+        texts += [" ".join(base), " ".join(base).upper(), " ".join([*base, "more"])]
+    at = lambda radius: {x.doc_id: x.component_id for x in S.similar_groups(docs_frame(spark, texts), radius=radius).collect()}
+    assert at(0) == brute(texts, 1.0) != brute(texts)
+    assert at(S.RADIUS) == brute(texts)
