@@ -69,6 +69,8 @@ class Best:
         """scores: a row for each id, a column for each query; -inf is never held."""
         key = np.round(scores, 9)
         row, query = np.nonzero((key >= self.least) & np.isfinite(key))
+        if not len(row):  # none is as good as those held
+            return
         order = np.argsort(query, kind="stable")
         row, query = row[order], query[order]
         begin = np.flatnonzero(np.diff(query, prepend=-1))

@@ -107,6 +107,14 @@ def test_one_plan_without_a_job_before_its_action(spark, index, tables):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_rows_that_are_all_worse_than_those_held():
+    held = retrieval.Best(2, 2)
+    held.add(np.array([5, 6, 7]), np.array([[0.9, 0.8], [0.8, 0.9], [0.1, 0.2]]))
+    held.add(np.array([8, 9]), np.array([[0.3, 0.3], [-np.inf, 0.1]]))
+    held.add(np.array([], np.int64), np.zeros((0, 2)))
+    assert held.rows(np.array([1, 2]), "doc_id").to_pydict() == {"query_id": [1, 1, 2, 2], "doc_id": [5, 6, 6, 5], "score": [0.9, 0.8, 0.9, 0.8]}
+
+
 def test_options(spark, index):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
