@@ -135,7 +135,8 @@ def lexical(index: Index, asked: Questions, k: int = 60, allowed: DataFrame | No
     share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(average)))
     # weighed has a row for each term of each question of the block
     total = post.join(F.broadcast(weighed), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * share).alias("score")).where("score > 0")
-    return retrieval.top_k(total, k, "doc_id")
+    # a sum's last digits depend on the order of its terms, so equal texts are told apart by their ids only if those digits go
+    return retrieval.top_k(total.withColumn("key", F.round("score", 12)), k, "doc_id", by="key").drop("key")
 
 
 def semantic(index: Index, asked: Questions, k: int = 60, allowed: DataFrame | None = None) -> DataFrame:

@@ -115,6 +115,23 @@ def test_rows_that_are_all_worse_than_those_held():
     assert held.rows(np.array([1, 2]), "doc_id").to_pydict() == {"query_id": [1, 1, 2, 2], "doc_id": [5, 6, 6, 5], "score": [0.9, 0.8, 0.9, 0.8]}
 
 
+def test_copies_rank_by_id_whatever_the_order_of_the_sums(spark, tmp_path):
+    words = ["alpha beta gamma delta epsilon zeta eta theta kappa sigma"[i % 7 :] for i in range(12)]
+    docs = [(i, " ".join([words[i % 12]] * (1 + i % 3)) + " tail" * (i % 4)) for i in range(240)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = spark.createDataFrame([(1, words[0])], "query_id long, query string")
+    for files in (3, 7):
+        search.write_index(table.repartition(5), str(tmp_path / str(files)), files=files)
+        index = search.Index(spark, str(tmp_path / str(files)))
+        rows = [(r.rank, r.doc_id, r.score) for k in (20, 65) for r in search.bm25(index, asked, k).orderBy("rank").collect()]
+        text = dict(docs)
+        for (a, i, s), (b, j, t) in zip(rows, rows[1:], strict=False):
+            assert b < a or s > t + 1e-12 or (abs(s - t) < 1e-12 and i < j)
+        for k in (20, 65):
+            kept = [i for _, i, _ in (rows[:20] if k == 20 else rows[20:])]
+            assert all({j for j in text if text[j] == text[i] and j < i} <= set(kept) for i in kept)
+
+
 def test_options(spark, index):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
