@@ -1,5 +1,7 @@
 """Functions and operators against values worked out by hand, on the cases the standard tables lack."""
 
+import html
+import re
 from datetime import datetime
 
 import numpy as np
@@ -128,6 +130,18 @@ def test_topics_part_a_session(spark):
     assert [got[k] for k in range(10)] == [0] * 5 + [1] * 5 and {got[100 + k] for k in range(9)} == {0}
 
 
+def test_references_are_read_without_python(spark):
+    number = re.compile(r"&#([0-9]+|[xX][0-9a-fA-F]+);")
+    codes = [*range(0, 300), 0x3B1, 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFE, 0xFFFF, 0x10000, 0x1F600, 0x1FFFE, 0x10FFFF, 0x110000, 9_999_999, 10_000_000, 2**40]
+    texts = [f"a&#{c};b &#x{c:x};&#X{c:X};&#000{c};" for c in codes] + [None, "", "no reference", "&#;", "&#x;", "&#12", "&&#65;&#66;", "&#65;", "&#xg;", "&#٣;", "&amp;#65;", "&#38;#65;"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.character_references(F.col("t")).alias("got"))
+    assert "Python" not in table._jdf.queryExecution().executedPlan().toString()
+    for r in table.collect():
+        assert r.got == (r.t if r.t is None else number.sub(lambda m: html.unescape(m[0]), r.t))
+    long = f"a&#{'9' * 5000};b&#{'0' * 5000}65;"  # Python would not read such a number
+    assert spark.createDataFrame([(long,)], "t string").select(T.character_references(F.col("t"))).first()[0] == "a\ufffdbA"
+
+
 def split_in_memory(vectors, cut=0.42, run=3, least=8):
     part, parts, total, size = 0, [], None, 0
     for k, v in enumerate(vectors):
