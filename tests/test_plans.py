@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestone.plans import ingest, recall
@@ -53,3 +54,14 @@ def test_conversation_and_cache():
     assert asked[1].endswith("/ why?") and len(c.turns) == 2
     r = recall.Recent(size=1, seconds=5)
     assert r.get("a", lambda: 1, 0) == 1 and r.get("a", lambda: 2, 4) == 1 and r.get("a", lambda: 3, 10) == 3
+
+
+def test_pages_are_read_a_few_at_a_time(monkeypatch):
+    pages = [None, "", *(f"<html><body><main>{'word ' * (10 + 7 * k)}</main><p>side</p></body></html>" for k in range(40)), "<p>" + "long " * 5000 + "</p>"]
+    whole = ingest.read_pages(pa.array(pages, pa.string()), 300).to_pylist()
+    sizes = []
+    assert whole[0] is None and whole[2] == "word " * 9 + "word" and len(whole[-1]) == 300
+    monkeypatch.setattr(ingest, "_AT_ONCE", 400)
+    monkeypatch.setattr(ingest, "_content", lambda page, f=ingest._content: (sizes.append(page), f(page))[1])
+    assert ingest.read_pages(pa.array(pages, pa.string()), 300).to_pylist() == whole and sizes == pages
+    assert ingest.read_pages(pa.array([], pa.string()), 300).to_pylist() == []
