@@ -138,6 +138,17 @@ def usable_name(norm: Column, kind: Column) -> Column:
     return (F.length(norm) >= 2) & ~norm.isin(*NOISE_NAMES) & ~norm.rlike(r"^\d+$") & ~((kind == "person") & (F.length(norm) > 60))
 
 
+def shared(every: DataFrame, asked: DataFrame, block: int = 1000) -> DataFrame:
+    """(a, b, shared) of asked (a, s) and every (b, s): how many values the sorted sets of two of them have in common, where there are any. Those asked
+    that have the same set are compared once, in blocks of ``block``, and go to all tasks; a row of every meets them as it passes, so that a common value
+    is no large group and pairs are neither dealt out nor held."""
+    tasks = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by a stated number: the sets are small, what is made of them is not
+    order = Window.partitionBy("s").orderBy("a")
+    groups = asked.where(F.size("s") > 0).withColumn("k", F.floor((F.row_number().over(order) - 1) / block)).groupBy("s", "k").agg(F.collect_list("a").alias("ids"))
+    met = every.select("b", F.col("s").alias("own")).repartition(tasks, "b").join(F.broadcast(groups), F.arrays_overlap("s", "own"))
+    return met.select(F.explode("ids").alias("a"), "b", F.size(F.array_intersect("s", "own")).cast("long").alias("shared")).where("a <> b")
+
+
 def implicit_entities(items: DataFrame) -> DataFrame:
     """(mem_id, ts, ord, name, kind) from metadata columns mem_id, ts, source_kind, author, attendees, channel, course, site_name."""
     named = lambda c, kind: F.struct(c.alias("name"), kind.alias("kind"))

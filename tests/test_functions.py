@@ -142,6 +142,17 @@ def test_references_are_read_without_python(spark):
     assert spark.createDataFrame([(long,)], "t string").select(T.character_references(F.col("t"))).first()[0] == "a\ufffdbA"
 
 
+def test_shared_values_without_a_group_for_each_value(spark):
+    sets = {1: ["x"], 2: ["x", "y"], 3: ["y", "z"], 4: [], 5: ["x"], 6: ["z"], 50: ["x", "z"], 100: ["x"], 150: [], 200: ["q"]}
+    e = spark.createDataFrame(list(sets.items()), "user_id long, s array<string>").repartition(3)
+    asked = e.where("user_id % 50 = 0").select(F.col("user_id").alias("a"), "s")
+    df = activity.shared(e.select(F.col("user_id").alias("b"), "s"), asked, block=1)
+    assert "SortMergeJoin" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "BroadcastNestedLoopJoin" in plan
+    got = [tuple(r) for r in df.collect()]
+    want = {(a, b, len(set(sets[a]) & set(sets[b]))) for a in (50, 100, 150, 200) for b in sets if a != b and set(sets[a]) & set(sets[b])}
+    assert len(got) == len(want) and set(got) == want
+
+
 def split_in_memory(vectors, cut=0.42, run=3, least=8):
     part, parts, total, size = 0, [], None, 0
     for k, v in enumerate(vectors):
