@@ -309,9 +309,12 @@ def due_for_resurface(items: DataFrame, now: Column, *, limit: int = 8, cooldown
     """items (mem_id, created_at, source_kind, site, stability, last_resurfaced_at) that slip, the best of each site."""
     age = D.days_between(F.col("created_at"), now)
     rested = F.coalesce(F.col("last_resurfaced_at") <= now - F.expr(f"INTERVAL {cooldown_days} DAY"), F.lit(True))
-    scored = items.where((F.col("created_at") <= now) & (F.col("source_kind") != "calendar") & rested).withColumn("score", F.round(resurface_score(age, F.col("stability")), 9)).where("score > 0")
-    w = Window.partitionBy("site").orderBy(F.col("score").desc(), "mem_id")
-    first = scored.withColumn("n__", F.row_number().over(w)).where("n__ = 1 or coalesce(site, '') = ''")
+    due = items.where((F.col("created_at") <= now) & (F.col("source_kind") != "calendar") & rested)
+    # an item without a site is a group of its own; its number also keeps the condition on the score above what computes it, so that this is done once
+    own = F.when(F.coalesce("site", F.lit("")) == "", F.monotonically_increasing_id())
+    scored = due.withColumns({"score": F.round(resurface_score(age, F.col("stability")), 9), "own__": own}).where("score > 0")
+    w = Window.partitionBy("site", "own__").orderBy(F.col("score").desc(), "mem_id")
+    first = scored.withColumn("n__", F.row_number().over(w)).where("n__ = 1")
     return first.orderBy(F.col("score").desc(), "mem_id").limit(limit).select("mem_id", "site", "score")
 
 

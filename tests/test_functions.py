@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import queries as engine
 from lodestone.functions import commitments as C
 from lodestone.functions import text as T
 from lodestone.functions import time as D
@@ -153,6 +154,32 @@ def test_shared_values_without_a_group_for_each_value(spark):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_bigrams_compute_their_tokens_once(spark):
+    texts = ["alpha beta gamma alpha", "alpha", "", None, "日本 alpha"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.bigrams(T.content_tokens(F.col("t"))).alias("b"))
+    for r in df.collect():
+        words = T.content_words(r.t)
+        assert r.b == [f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+
+
+def test_what_to_revisit_is_scored_once_and_limited_before_it_is_dealt_out(spark):
+    kinds = [None, "", "a", "b", "b", "a", "", None]
+    rows = [(k, datetime(2024, 1, 1 + k % 20), "web", kinds[k % 8], 9.0 + k % 13, None) for k in range(300)]
+    table = spark.createDataFrame(rows, "mem_id long, created_at timestamp, source_kind string, site string, stability double, last_resurfaced_at timestamp").repartition(5)
+    now = F.lit("2024-01-25 00:00:00").cast("timestamp")
+    age = D.days_between(F.col("created_at"), now)
+    scored = [(-r.x, r.mem_id, r.site) for r in table.select("mem_id", "site", F.round(activity.resurface_score(age, F.col("stability")), 9).alias("x")).collect() if r.x > 0]
+    best = {s: min(r for r in scored if r[2] == s) for s in "ab"}
+    want = sorted([r for r in scored if not r[2]] + list(best.values()))
+    df = activity.due_for_resurface(table, now, limit=len(want) + 5)
+    assert [(-r.score, r.mem_id, r.site) for r in df.collect()] == want and len(want) > 50
+    plan = df._jdf.queryExecution()
+    assert "WindowGroupLimit" in plan.optimizedPlan().toString()
+    df = engine.QUERIES["resurface"](spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") < 10
+
+
 def split_in_memory(vectors, cut=0.42, run=3, least=8):
     part, parts, total, size = 0, [], None, 0
     for k, v in enumerate(vectors):
