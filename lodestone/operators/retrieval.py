@@ -20,8 +20,8 @@ from ..functions import vector as V
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-#: Queries that meet the vectors together, and vectors that are multiplied at once.
-BROADCAST_ROWS, _STEP = 1000, 2048
+#: Queries that meet the vectors together, and scores of vectors with them that are held at once.
+BROADCAST_ROWS, _SCORES = 1000, 2**19
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,6 +92,7 @@ class Best:
 def _scored(vectors: DataFrame, ids: list[int], q: np.ndarray, k: int, quantised: bool, exclude_self: bool) -> DataFrame:
     """(query_id, vec_id, score): each task's k best for a block of queries with these ids and vectors."""
     asked = np.array(ids, np.int64)
+    step = max(1, min(2048, _SCORES // max(1, len(ids))))  # so that memory does not grow with the queries of a block
 
     def steps_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         scale = np.abs(m).max(1, initial=0) / 127
@@ -100,8 +101,8 @@ def _scored(vectors: DataFrame, ids: list[int], q: np.ndarray, k: int, quantised
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(ids), k)
         for batch in batches:
-            for begin in range(0, len(batch) if ids else 0, _STEP):
-                some = batch.slice(begin, _STEP)
+            for begin in range(0, len(batch) if ids else 0, step):
+                some = batch.slice(begin, step)
                 numbers = some.column("vec_id").to_numpy(zero_copy_only=False)
                 m = some.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), -1)
                 if quantised:

@@ -75,3 +75,12 @@ def test_vector_search_takes_blocks_of_queries(spark, sf_dir, monkeypatch):
     assert [[(r[:2], r[3]) for r in x] for x in got] == [[(r[:2], r[3]) for r in x] for x in want] and len(got[0]) == 40
     assert [r[2] for x in got for r in x] == pytest.approx([r[2] for x in want for r in x])
     assert retrieval.vector_search(vectors, asked.limit(0), 4).count() == 0
+
+
+def test_vectors_are_multiplied_in_bounded_steps(spark, sf_dir, monkeypatch):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted((r.query_id, r.vec_id, r.rank) for r in retrieval.vector_search(vectors, asked, 4).collect())
+    for scores in (1, 70):
+        monkeypatch.setattr(retrieval, "_SCORES", scores)
+        assert sorted((r.query_id, r.vec_id, r.rank) for r in retrieval.vector_search(vectors, asked, 4).collect()) == want
