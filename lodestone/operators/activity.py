@@ -145,7 +145,7 @@ def shared(every: DataFrame, asked: DataFrame, block: int = 1000) -> DataFrame:
     tasks = int(every.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by a stated number: the sets are small, what is made of them is not
     order = Window.partitionBy("s").orderBy("a")
     groups = asked.where(F.size("s") > 0).withColumn("k", F.floor((F.row_number().over(order) - 1) / block)).groupBy("s", "k").agg(F.collect_list("a").alias("ids"))
-    met = every.select("b", F.col("s").alias("own")).repartition(tasks, "b").join(F.broadcast(groups), F.arrays_overlap("s", "own"))
+    met = every.select("b", F.col("s").alias("own")).repartition(tasks).join(F.broadcast(groups), F.arrays_overlap("s", "own"))
     return met.select(F.explode("ids").alias("a"), "b", F.size(F.array_intersect("s", "own")).cast("long").alias("shared")).where("a <> b")
 
 
