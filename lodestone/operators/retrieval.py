@@ -58,30 +58,32 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 60, *, quanti
 
 
 class Best:
-    """The k best rows of each query among those that were added: by score to 9 digits, then the lower id."""
+    """The k best rows of each query among those that were added: by score to so many digits, then the lower id."""
 
-    def __init__(self, queries: int, k: int):
-        self.k = k
+    def __init__(self, queries: int, k: int, digits: int = 9):
+        self.k, self.digits = k, digits
         self.held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in range(queries)]
         self.least = np.full(queries, -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """scores: a row for each id, a column for each query; -inf is never held."""
-        key = np.round(scores, 9)
-        row, query = np.nonzero((key >= self.least) & np.isfinite(key))
+        # only what may be as good as those held is rounded
+        near = (scores >= self.least - 10.0**-self.digits) & np.isfinite(scores)
+        query, row = np.nonzero(np.ascontiguousarray(near.T))
+        some = scores[row, query]
+        good = np.round(some, self.digits) >= self.least[query]
+        query, row, some = query[good], row[good], some[good]
         if not len(row):  # none is as good as those held
             return
-        order = np.argsort(query, kind="stable")
-        row, query = row[order], query[order]
         begin = np.flatnonzero(np.diff(query, prepend=-1))
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(query)], strict=True):
             j = int(query[a])
-            score = np.concatenate([self.held[j][0], scores[row[a:b], j]])
+            score = np.concatenate([self.held[j][0], some[a:b]])
             number = np.concatenate([self.held[j][1], ids[row[a:b]]])
-            best = np.lexsort((number, -np.round(score, 9)))[: self.k]
+            best = np.lexsort((number, -np.round(score, self.digits)))[: self.k]
             self.held[j] = score[best], number[best]
             if len(best) == self.k:
-                self.least[j] = np.round(score[best[-1]], 9)
+                self.least[j] = np.round(score[best[-1]], self.digits)
 
     def rows(self, queries: np.ndarray, name: str, among: np.ndarray | None = None) -> pa.RecordBatch:
         held = [(q, s, n) for j, (q, (s, n)) in enumerate(zip(queries.tolist(), self.held, strict=True)) if among is None or among[j]]

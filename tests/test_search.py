@@ -159,6 +159,49 @@ def test_scoped_questions_keep_the_statistics_of_all(spark, index):
     assert some == {d: s for d, s in every.items() if d < 50}
 
 
+def test_many_terms_are_searched_by_documents(spark, index, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    asked = docs.where("doc_id % 30 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 120).alias("query"))
+    asked = asked.union(spark.createDataFrame([(1, None), (2, "zzzz qqqq"), (3, "the"), (5, "zzzz " + docs.where("doc_id = 6").first().text)], "query_id long, query string"))
+
+    def rows(k, allowed):
+        return sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in search.bm25(index, asked, k, allowed).collect())
+
+    ways = [(k, allowed) for k in (3, 10_000) for allowed in (None, docs.where("doc_id % 2 = 0").select("doc_id"))]
+    monkeypatch.setattr(search, "PRUNED_TERMS", 10_000)
+    want = [rows(*way) for way in ways]
+    near = sorted(map(tuple, search.semantic_search(index, asked, 5).collect()))
+    assert all(len({r[0] for r in x}) >= 7 for x in want)
+    monkeypatch.setattr(search, "PRUNED_TERMS", 0)
+    for together in (500, 2):
+        monkeypatch.setattr(search, "_TOGETHER", together)
+        assert [rows(*way) for way in ways] == want
+        assert sorted(map(tuple, search.semantic_search(index, asked, 5).collect())) == near
+    # what is shuffled are the best of each task, not the pairs of a question and a document that share a term
+    plan = search.bm25(index, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
+
+
+def test_ambient_reads_a_page_once_and_asks_a_title_once(spark, monkeypatch):
+    held, hybrid = [], search.hybrid
+
+    def counted(index, docs, titles, **options):
+        held.append(titles.count())
+        return hybrid(index, docs, titles, **options)
+
+    monkeypatch.setattr(search, "hybrid", counted)
+    found = engine.QUERIES["ambient_related"](spark, SF)
+    assert "regexp_replace" not in found._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").withColumn("url", F.concat(F.lit("u"), "doc_id")).localCheckpoint()
+    title = docs.where("doc_id = 6").first().text[:80]
+    titles = spark.createDataFrame([(1, title, "u6"), (2, title, "elsewhere"), (3, None, "u6"), (4, title, None), (5, "", "u1")], "query_id long, query string, url string")
+    related = search.ambient(engine._index(docs.select("doc_id", "text")), docs, titles).collect()
+    assert held[-1] == 3
+    by = {q: [(r.rank, r.doc_id) for r in sorted(related, key=lambda r: r.rank) if r.query_id == q] for q in range(1, 6)}
+    assert by[2] and by[2] == by[4] and not by[3] and not by[5]
+    assert 6 in {d for _, d in by[2]} and 6 not in {d for _, d in by[1]}
+
+
 def test_no_rows(spark, tmp_path, index):
     none = spark.createDataFrame([], "doc_id long, text string")
     search.write_index(none, str(tmp_path / "none"))
