@@ -37,8 +37,8 @@ BLOCK, _TOGETHER = 16_000, 500
 PRUNED_TERMS = 200
 #: Characters of a passage that is given as evidence.
 EVIDENCE = 1400
-#: Documents whose vectors are computed together.
-_ROWS = 256
+#: Documents whose vectors are computed together, and weights of documents' terms that are held at once.
+_ROWS, _WEIGHTS = 256, 2**23
 
 
 class Index:
@@ -181,6 +181,8 @@ def _by_documents(index: Index, asked: Questions, k: int, allowed: DataFrame | N
         own = [[place[t] for t in dict.fromkeys(ts) if t in place] for ts in asked.tokens[begin : begin + _TOGETHER]]
         among = np.unique(np.array([p for ps in own for p in ps], np.int64))
         blocks.append((ids[begin : begin + _TOGETHER], among, [np.searchsorted(among, np.array(sorted(ps), np.int64)) for ps in own]))
+    # so that memory does not grow with the terms of the questions
+    step = max(1, min(_ROWS * 8, _WEIGHTS // max([1, *(len(among) for _, among, _ in blocks)])))
     rows = index.docs.select("doc_id", "doc_len", "terms")
     if allowed is not None:
         rows = rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
@@ -191,8 +193,8 @@ def _by_documents(index: Index, asked: Questions, k: int, allowed: DataFrame | N
         best, known = [retrieval.Best(len(q), k, 12) for q, _, _ in blocks], pa.array(terms, pa.string())
         local = np.full(len(terms), -1)
         for batch in batches:
-            for begin in range(0, len(batch), _ROWS * 8):
-                some = batch.slice(begin, _ROWS * 8)
+            for begin in range(0, len(batch), step):
+                some = batch.slice(begin, step)
                 lists, numbers = some.column("terms"), some.column("doc_id").to_numpy(zero_copy_only=False)
                 term, tf = lists.flatten().flatten()
                 at = pc.fill_null(pc.index_in(term, known), -1).to_numpy(zero_copy_only=False)

@@ -174,8 +174,9 @@ def test_many_terms_are_searched_by_documents(spark, index, monkeypatch):
     near = sorted(map(tuple, search.semantic_search(index, asked, 5).collect()))
     assert all(len({r[0] for r in x}) >= 7 for x in want)
     monkeypatch.setattr(search, "PRUNED_TERMS", 0)
-    for together in (500, 2):
+    for together, weights in ((500, 2**23), (2, 700)):  # the second holds a few documents at once
         monkeypatch.setattr(search, "_TOGETHER", together)
+        monkeypatch.setattr(search, "_WEIGHTS", weights)
         assert [rows(*way) for way in ways] == want
         assert sorted(map(tuple, search.semantic_search(index, asked, 5).collect())) == near
     # what is shuffled are the best of each task, not the pairs of a question and a document that share a term
